@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, toxicity
+from . import minhash, packing, storage, token_orc, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,11 +17,26 @@ def fold_of(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5
 
 
+def op4_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = storage.new_path(spark, "tokens")
+    token_orc.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    return token_orc.positions(spark, path)
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.write(table(spark, sf_dir, "pages"), storage.new_path(spark, "warc"))
+    return warc.read(index, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash.classes(table(spark, sf_dir, "documents"), k=4)
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     scored = toxicity.fit_and_score(docs, labels, fold_of() != 0)
@@ -49,5 +65,21 @@ SELECT sized.doc_id, CAST(sized.n AS BIGINT) AS n_shingles, min(root) AS compone
 FROM sized JOIN reach ON reach.x = sized.doc_id GROUP BY 1, 2
 """
 
-QUERIES = {"op6_minhash": op6_minhash, "op10_toxicity": op10_toxicity}
-ORACLES: dict[str, str] = {"op6_minhash": OP6_SQL}
+#: Base 32 from the 160 bits of the hex digest, five at a time.
+OP5_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (
+  SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes, sha1(h) AS hex,
+    array_to_string(list_transform(string_split(sha1(h), ''), lambda c: substr('0000000100100011010001010110011110001001101010111100110111101111', 1 + 4 * (instr('0123456789abcdef', c) - 1), 4)), '') AS bits
+  FROM p),
+b AS (
+  SELECT page_id, payload_bytes, hex, array_to_string(list_transform(range(0, 160, 5), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + 16 * CAST(bits[i + 1] AS INT) + 8 * CAST(bits[i + 2] AS INT) + 4 * CAST(bits[i + 3] AS INT) + 2 * CAST(bits[i + 4] AS INT) + CAST(bits[i + 5] AS INT), 1)), '') AS payload_digest
+  FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = max(page_id) OVER w THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = max(page_id) OVER w THEN NULL ELSE max(page_id) OVER w END AS refers_to
+FROM b WINDOW w AS (PARTITION BY hex, payload_bytes)
+"""
+
+QUERIES = {"op4_token_orc": op4_token_orc, "op5_warc": op5_warc, "op6_minhash": op6_minhash, "op9_packing": op9_packing, "op10_toxicity": op10_toxicity}
+ORACLES: dict[str, str] = {"op5_warc": OP5_SQL, "op6_minhash": OP6_SQL}
