@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, packing, storage, token_orc, toxicity, warc
+from . import decontamination, minhash, packing, pii, storage, token_orc, toxicity, url_filters, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,29 @@ def fold_of(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5
 
 
+#: The rules that the contract fixes.
+RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge(table(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict", "trust", "distrust")
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
+def _listed(spans: Column) -> Column:
+    return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.annotate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.expr(f"cast(size(filter(spans, s -> s.kind = '{kind}')) as bigint) as n_{kind}") for kind in pii.KINDS]
+    base = F.filter("spans", lambda s: s["kind"] != "term")
+    return found.select("doc_id", *counts, F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
+
+
 def op4_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = storage.new_path(spark, "tokens")
     token_orc.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
@@ -81,5 +104,5 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = max(page_id)
 FROM b WINDOW w AS (PARTITION BY hex, payload_bytes)
 """
 
-QUERIES = {"op4_token_orc": op4_token_orc, "op5_warc": op5_warc, "op6_minhash": op6_minhash, "op9_packing": op9_packing, "op10_toxicity": op10_toxicity}
+QUERIES = {"op1_url_filters": op1_url_filters, "op2_decontamination": op2_decontamination, "op3_pii": op3_pii, "op4_token_orc": op4_token_orc, "op5_warc": op5_warc, "op6_minhash": op6_minhash, "op9_packing": op9_packing, "op10_toxicity": op10_toxicity}
 ORACLES: dict[str, str] = {"op5_warc": OP5_SQL, "op6_minhash": OP6_SQL}
