@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, minhash, packing, pii, storage, token_orc, toxicity, url_filters, warc
+from . import decontamination, html_wrappers, images, minhash, packing, pii, storage, token_orc, toxicity, url_filters, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,15 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
+def op7_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return images.copies(images.render(table(spark, sf_dir, "embeddings")))
+
+
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_wrappers.extract(table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -104,5 +113,5 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = max(page_id)
 FROM b WINDOW w AS (PARTITION BY hex, payload_bytes)
 """
 
-QUERIES = {"op1_url_filters": op1_url_filters, "op2_decontamination": op2_decontamination, "op3_pii": op3_pii, "op4_token_orc": op4_token_orc, "op5_warc": op5_warc, "op6_minhash": op6_minhash, "op9_packing": op9_packing, "op10_toxicity": op10_toxicity}
+QUERIES = {"op1_url_filters": op1_url_filters, "op2_decontamination": op2_decontamination, "op3_pii": op3_pii, "op4_token_orc": op4_token_orc, "op5_warc": op5_warc, "op6_minhash": op6_minhash, "op7_images": op7_images, "op8_html": op8_html, "op9_packing": op9_packing, "op10_toxicity": op10_toxicity}
 ORACLES: dict[str, str] = {"op5_warc": OP5_SQL, "op6_minhash": OP6_SQL}
