@@ -113,14 +113,24 @@ def classes(docs: DataFrame, *, k: int = 5, percent: int = 80, r: int = R, m: in
         return both.where(100 * F.col("common") >= percent * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b")
 
     def rest(left: DataFrame, links: DataFrame) -> DataFrame:
-        """Pairs of unsettled classes in different components that share a shingle of their prefixes: by the prefix filter, all that can link."""
+        """Pairs of unsettled classes in different components that share a shingle of their prefixes where both can still
+        reach the overlap: by the prefix and positional filters, all that can link."""
         token = left.join(full_sets(), "node").select("node", "n", "comp", F.explode("shingles").alias("s"))
         often = token.groupBy("s").agg(F.count(F.lit(1)).alias("df"))
         order = Window.partitionBy("node").orderBy("df", "s")
-        reach = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-        prefix = materialize(token.join(often, "s").withColumn("rank", F.row_number().over(order)).where((F.col("rank") <= reach) & (F.col("df") > 1)).select("s", "node", "n", "comp"), "prefixes")
-        x, y = prefix.select("s", *(F.col(c).alias(f"{c}1") for c in ("node", "n", "comp"))), prefix.select("s", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "comp")))
-        pairs = x.join(y, "s").where("node1 < node2 and comp1 <> comp2").where(may_link("n1", "n2")).select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct()
+        # the smaller set of a pair needs a shorter prefix: their overlap is at least 2 p / (1 + p) of its size
+        probe, index = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1, F.col("n") - F.ceil(F.col("n") * 2 * percent / (100 + percent) - F.lit(1e-9)) + 1
+        # a shingle that no other unsettled class has is common to no pair
+        known = F.sum((F.col("df") > 1).cast("int")).over(Window.partitionBy("node"))
+        prefix = token.join(often, "s").withColumn("rank", F.row_number().over(order)).withColumn("known", known).where((F.col("rank") <= probe) & (F.col("df") > 1))
+        prefix = materialize(prefix.select("s", "node", "n", "comp", "rank", "known", (F.col("rank") <= index).alias("short")), "prefixes")
+        x, y = (prefix.select("s", "short", *(F.col(c).alias(f"{c}{i}") for c in ("node", "n", "comp", "rank", "known"))) for i in (1, 2))
+        smaller = (F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("node1") < F.col("node2")))
+        # shingles before and after the shared one, at most
+        room = F.least("rank1", "rank2") + F.least(F.col("n1") - F.col("rank1"), F.col("n2") - F.col("rank2"))
+        fits = F.least(room, "known1", "known2") * (100 + percent) >= percent * (F.col("n1") + F.col("n2"))
+        pairs = x.where("short").drop("short").join(y.drop("short"), "s").where(smaller & (F.col("comp1") != F.col("comp2")) & may_link("n1", "n2") & fits)
+        pairs = pairs.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
         return pairs.join(links, ["a", "b"], "left_anti")
 
     def may_link(x: str, y: str) -> F.Column:
