@@ -72,7 +72,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = DAMPING, r
     start = materialize(start.where("seed > 0"), "seeds")
     rank = start.withColumnRenamed("seed", "rank")
     for i in range(rounds):
-        sent = rank.join(flow, (rank.k == flow.k) & (rank.host == flow.src)).select(flow.k, F.col("dst").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank"))
+        sent = rank.withColumnRenamed("host", "src").join(flow, ["k", "src"]).select("k", F.col("dst").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank"))
         rank = sent.union(start.select("k", "host", F.col("seed") * (1 - damping))).groupBy("k", "host").agg(F.sum("rank").alias("rank"))
         if i % 4 == 3 or i == rounds - 1:
             rank = materialize(rank, "rank")
