@@ -32,6 +32,7 @@ from .linking import connected_components, link_members
 from .storage import materialize
 
 R, M = 3, 16
+WORDS = 8
 
 
 def _constants(n: int) -> np.ndarray:
@@ -68,15 +69,18 @@ def _sketches(batches: Iterator[pa.RecordBatch], k: int, r: int, m: int) -> Iter
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Full sets, and a bitmap in which each shingle toggles one of 64 * WORDS bits."""
     for batch in batches:
-        parts, ends = [], [0]
+        parts, ends, bits = [], [0], []
         for lo, hi, data, offsets in K.chunks(batch.column(1)):
             x, cuts = K.shingles(K.words(data, offsets), k)
             for d in range(hi - lo):
                 parts.append(np.unique(x[cuts[d] : cuts[d + 1]]))
                 ends.append(ends[-1] + len(parts[-1]))
+                odd = np.bincount((parts[-1] >> np.uint64(40)).astype(np.int64) % (64 * WORDS), minlength=64 * WORDS) & 1
+                bits.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
         flat = np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(flat))], names=["node", "shingles"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(flat)), pa.ListArray.from_arrays(pa.array(np.arange(len(bits) + 1, dtype=np.int32) * WORDS), pa.array(np.concatenate(bits) if bits else np.zeros(0, np.int64)))], names=["node", "shingles", "bits"])
 
 
 def classes(docs: DataFrame, *, k: int = 5, percent: int = 80, r: int = R, m: int = M) -> DataFrame:
@@ -103,7 +107,7 @@ def classes(docs: DataFrame, *, k: int = 5, percent: int = 80, r: int = R, m: in
             named = materialize(own.select("node").join(sets.select("node", "least"), "node").select("node", F.col("least").alias("doc_id")), "named")
             # a doc_id may stand for several texts: the set's own hash decides
             texts = docs.join(named, docs.doc_id.eqNullSafe(named.doc_id)).select(named.node, "text").dropDuplicates(["node"])
-            memo["sets"] = materialize(texts.mapInArrow(lambda it: _sets(it, k), "node long, shingles array<long>"), "full-sets")
+            memo["sets"] = materialize(texts.mapInArrow(lambda it: _sets(it, k), "node long, shingles array<long>, bits array<long>"), "full-sets")
         return memo["sets"]
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -114,8 +118,8 @@ def classes(docs: DataFrame, *, k: int = 5, percent: int = 80, r: int = R, m: in
 
     def rest(left: DataFrame, links: DataFrame) -> DataFrame:
         """Pairs of unsettled classes in different components that share a shingle of their prefixes where both can still
-        reach the overlap: by the prefix and positional filters, all that can link."""
-        token = left.join(full_sets(), "node").select("node", "n", "comp", F.explode("shingles").alias("s"))
+        reach the overlap: by the prefix, positional and bitmap filters, all that can link."""
+        token = left.join(full_sets().drop("bits"), "node").select("node", "n", "comp", F.explode("shingles").alias("s"))
         often = token.groupBy("s").agg(F.count(F.lit(1)).alias("df"))
         order = Window.partitionBy("node").orderBy("df", "s")
         # the smaller set of a pair needs a shorter prefix: their overlap is at least 2 p / (1 + p) of its size
@@ -123,12 +127,16 @@ def classes(docs: DataFrame, *, k: int = 5, percent: int = 80, r: int = R, m: in
         # a shingle that no other unsettled class has is common to no pair
         known = F.sum((F.col("df") > 1).cast("int")).over(Window.partitionBy("node"))
         prefix = token.join(often, "s").withColumn("rank", F.row_number().over(order)).withColumn("known", known).where((F.col("rank") <= probe) & (F.col("df") > 1))
-        prefix = materialize(prefix.select("s", "node", "n", "comp", "rank", "known", (F.col("rank") <= index).alias("short")), "prefixes")
-        x, y = (prefix.select("s", "short", *(F.col(c).alias(f"{c}{i}") for c in ("node", "n", "comp", "rank", "known"))) for i in (1, 2))
+        prefix = prefix.select("s", "node", "n", "comp", "rank", "known", (F.col("rank") <= index).alias("short")).join(full_sets().select("node", "bits"), "node")
+        prefix = materialize(prefix, "prefixes")
+        x, y = (prefix.select("s", "short", *(F.col(c).alias(f"{c}{i}") for c in ("node", "n", "comp", "rank", "known", "bits"))) for i in (1, 2))
         smaller = (F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("node1") < F.col("node2")))
-        # shingles before and after the shared one, at most
-        room = F.least("rank1", "rank2") + F.least(F.col("n1") - F.col("rank1"), F.col("n2") - F.col("rank2"))
-        fits = F.least(room, "known1", "known2") * (100 + percent) >= percent * (F.col("n1") + F.col("n2"))
+        # a linked pair's first shared shingle has most of the overlap behind it; other shared ones need not find the pair
+        room = 1 + F.least(F.col("n1") - F.col("rank1"), F.col("n2") - F.col("rank2"))
+        # bits that differ are shingles that only one set has, at least
+        unlike = sum((F.bit_count(F.get("bits1", F.lit(i)).bitwiseXOR(F.get("bits2", F.lit(i)))) for i in range(1, WORDS)), F.bit_count(F.get("bits1", F.lit(0)).bitwiseXOR(F.get("bits2", F.lit(0)))))
+        both = F.col("n1") + F.col("n2")
+        fits = (F.least(room, "known1", "known2") * (100 + percent) >= percent * both) & ((both - unlike) * (100 + percent) >= 2 * percent * both)
         pairs = x.where("short").drop("short").join(y.drop("short"), "s").where(smaller & (F.col("comp1") != F.col("comp2")) & may_link("n1", "n2") & fits)
         pairs = pairs.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
         return pairs.join(links, ["a", "b"], "left_anti")
