@@ -9,12 +9,13 @@ texts with special strings or rare white space, go through the whole tokenizer.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import numpy as np
 import regex
 from tokenizers import Tokenizer
 
-CACHE_PIECES = 250_000
+CACHE_PIECES = 200_000
 _SPECIAL = "<|"
 _RARE_SPACE = re.compile(r"[^\S \n\r\t]")
 _PLAIN = re.compile(r"[ \n\r\t]*[\x21-\x7e\xa1-ɏ]*")
@@ -37,14 +38,18 @@ def _bytes(ids: list[int]) -> bytes:
     return np.array(ids, "<u4").tobytes()
 
 
-class _Pieces(dict):
-    def __init__(self, encoder: Encoder):
-        self.encoder = encoder
+class _Cache(dict):
+    """Two generations: a full one becomes the old one, and what is used again moves to the new one."""
 
-    def __missing__(self, piece: str) -> bytes:
+    def __init__(self, make: Callable[[str], bytes]):
+        self.make, self.old = make, {}
+
+    def __missing__(self, key: str) -> bytes:
         if len(self) >= CACHE_PIECES:
+            self.old = dict(self)
             self.clear()
-        self[piece] = found = self.encoder.piece(piece)
+        found = self.old.get(key)
+        self[key] = found = self.make(key) if found is None else found
         return found
 
 
@@ -53,7 +58,7 @@ class Encoder:
 
     def __init__(self, path: str):
         self.whole = Tokenizer.from_file(path)
-        self.model, self.pieces = self.whole.model, _Pieces(self)
+        self.model, self.pieces, self.parts = self.whole.model, _Cache(self.piece), _Cache(self.part)
         self.lower = self.whole.normalizer is not None
         self.pattern = _WORD_PATTERN if self.lower else _BYTE_PATTERN
         self.cut = re.compile(r"[^ \n\r\t]+" if self.lower else r"[ \n\r\t]*[^ \n\r\t]+|[ \n\r\t]+\Z")
@@ -64,8 +69,10 @@ class Encoder:
     def piece(self, piece: str) -> bytes:
         if not _PLAIN.fullmatch(piece):
             return self.full(piece)
-        parts = self.pattern.findall(piece.lower() if self.lower else piece)
-        return _bytes([t.id for p in parts for t in self.model.tokenize(p.encode().decode("latin-1").translate(_LETTERS))])
+        return b"".join(map(self.parts.__getitem__, self.pattern.findall(piece.lower() if self.lower else piece)))
+
+    def part(self, part: str) -> bytes:
+        return _bytes([t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(_LETTERS))])
 
     def encode(self, text: str) -> bytes:
         if _SPECIAL in text or not self.lower and _RARE_SPACE.search(text):
