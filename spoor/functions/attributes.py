@@ -13,12 +13,13 @@ FILE_LIKE = ("exe", "dll", "bat", "cmd", "ps1", "scr", "pif")
 
 def parse_attributes(text: Column) -> Column:
     """The JSON object's keys, lower-cased (the later of clashing keys wins), and values as text; null where text is no object or empty."""
-    entries = F.map_entries(F.from_json(text, MAP))
-    keys = F.transform(entries, lambda e: F.lower(e["key"]))
-    n = F.size(entries)
-    last = F.filter(F.transform(entries, lambda e, i: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"), i.alias("i"))), lambda e: ~F.array_contains(F.slice(keys, e["i"] + 2, F.greatest(n - e["i"] - 1, F.lit(0))), e["key"]))
-    made = F.map_from_entries(F.transform(last, lambda e: F.struct(e["key"], e["value"])))
-    return F.when(n > 0, made)
+    raw = F.from_json(text, MAP)
+    plain = F.forall(F.map_keys(raw), lambda k: k == F.lower(k))
+    # the general form runs only for rows with an upper-case key
+    entries = F.transform(F.map_entries(raw), lambda e, i: F.struct(F.lower(e["key"]).alias("key"), F.struct(i.alias("i"), e["value"].alias("value")).alias("v")))
+    names = F.array_distinct(F.transform(F.map_keys(raw), F.lower))
+    last = F.transform(names, lambda k: F.struct(k.alias("key"), F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)["v"]["value"].alias("value")))
+    return F.when((F.size(raw) > 0) & plain, raw).when(F.size(raw) > 0, F.map_from_entries(last))
 
 
 def first_key(attributes: Column, *keys: str) -> Column:
