@@ -134,12 +134,6 @@ def find_duplicate_dumps(dumps: DataFrame) -> DataFrame:
     return dumps.groupBy("sha256_hash").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("first_id")).where("copies > 1")
 
 
-def assess_signatures(hits: DataFrame, product: Column, low: Column) -> DataFrame:
-    """hits(rule, process): per rule all hits, those in security products, those of low information, and those that corroborate."""
-    rows = hits.withColumn("in_product", product.isNotNull()).withColumn("low", low)
-    return rows.groupBy("rule").agg(F.count(F.lit(1)).alias("total"), F.count_if("in_product").alias("in_product"), F.count_if(F.expr("not in_product and low")).alias("low_information"), F.count_if(F.expr("not in_product and not low")).alias("corroborating"))
-
-
 def ipv4_number(address: Column) -> Column:
     """null for what is no dotted quad; a part with a leading zero isn't one."""
     octet = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"

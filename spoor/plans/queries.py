@@ -186,3 +186,6 @@ def vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = view(spark, sf_dir, "embeddings")
     query_vector = vectors.where("vec_id = 0").first().embedding
     return reports.vector_search(vectors, query_vector, 20).select("vec_id")
+
+
+from . import case_queries  # noqa: E402, F401  registers its queries here

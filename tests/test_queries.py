@@ -20,7 +20,7 @@ def test_query(spark, name):
     assert data
     if name in ORACLES:
         c = duckdb.connect()
-        for t in ("customer", "events", "documents", "embeddings", "conversations"):
+        for t in ("customer", "orders", "lineitem", "events", "documents", "embeddings", "conversations"):
             c.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
         got = c.execute(ORACLES[name])
         assert rows(found.columns, data) == rows([d[0] for d in got.description], got.fetchall())
