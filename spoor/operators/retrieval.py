@@ -6,6 +6,8 @@ Rows without JSON never match on attributes.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,10 +29,7 @@ NO_PEER = ("0.0.0.0", "::", "127.0.0.1", "localhost")
 
 
 def _any_of(text: Column, tokens: tuple[str, ...]) -> Column:
-    found = F.lit(False)
-    for t in tokens:
-        found = found | text.contains(t)
-    return found
+    return text.rlike("|".join(map(re.escape, tokens)))  # one pass over one evaluation of text
 
 
 def _attribute(key: str, value: str = "artifact_value") -> Column:
