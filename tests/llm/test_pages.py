@@ -49,6 +49,25 @@ def test_template_text_of_a_host(spark):
     assert H.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_slot_labels_decide_on_hosts_without_semantic_tags(spark):
+    """The menu varies in length of the page around it, the notice is optional, and stories share a sentence."""
+    def page(i):
+        notice = "<div><b>We moved</b></div>" if i % 4 else ""
+        story = "".join(f"<p>{t}</p>" for t in ["All rights of this story stay with us.", *(f"part {k} of {i}" for k in range(1 + i % 3))])
+        return f"<body><ul><li>Home</li><li>About</li></ul>{notice}<table><tr><td>Title {i}</td></tr></table><div>{story}</div><center>Imprint</center></body>"
+
+    rows = [(i, f"http://h.org/{i}", page(i)) for i in range(12)]
+    found = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == {i: "\n".join([f"Title {i}", "All rights of this story stay with us.", *(f"part {k} of {i}" for k in range(1 + i % 3))]) for i in range(12)}
+
+
+def test_parse_by_the_wrapper():
+    w = "\x1f".join(["(x)?", "x", "(a b)+", "(c)?", "(c)?", "d"])
+    assert H.parse(w, ["x", "(a b)+", "d"]) == [1, 2, 5]
+    assert H.parse(w, ["x", "x", "(a b)+", "c", "d"]) == [0, 1, 2, 4, 5]
+    assert H.parse(w, ["x", "d"]) is None and H.parse(w, ["x", "(a b)+", "d", "d"]) is None
+
+
 def test_warc_round_trip(spark):
     rows = [(1, "http://a/1", "same"), (2, "http://a/2", "same"), (2, "http://a/2", "same"), (3, None, ""), (4, "u\r\nv", None), (5, "é", "x" * 300_000), (None, "http://a/n", "same"), (None, "n", "alone"), (6, "http://a/6", "a\r\n\r\nb\r\n\r\n")]
     pages = spark.createDataFrame([(*r, 7) for r in rows], "page_id long, url string, html string, digest int")
