@@ -49,6 +49,21 @@ def test_template_text_of_a_host(spark):
     assert H.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_class_words_of_ancestors_keep_the_article():
+    assert text_of('<body><a href=x>skip</a><div class="page has-sidebar"><div><article><p>a story</p><div class=ad>buy</div></article></div><p>more</p></div></body>') == "a story"
+    assert text_of('<div class="with-nav"><main><p>one</p></main></div>') == "one"
+    assert text_of("<article><p>s</p></article><section id=comments><article>first comment of all</article></section>") == "s"
+    assert text_of("<div><p>the story of the page</p></div><div class=related><article>teaser</article></div>") == "the story of the page"
+    assert text_of("<aside><article>teaser</article></aside>") == ""
+
+
+def test_copies_are_one_page_and_keep_their_text(spark):
+    rows = [(i, "http://h.org/1", "<body><div>All of it</div><p>the story</p></body>") for i in range(5)] + [(9, "http://h.org/2", "<body><div>All of it</div><p>another</p></body>")]
+    rows += [(20 + i, f"http://g.org/{i}", f"<body class=c{i}><div>Same</div><script>{i}</script></body>") for i in range(4)]
+    found = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == {**{i: "All of it\nthe story" for i in range(5)}, 9: "All of it\nanother", **{20 + i: "Same" for i in range(4)}}
+
+
 def test_slot_labels_decide_on_hosts_without_semantic_tags(spark):
     """The menu varies in length of the page around it, the notice is optional, and stories share a sentence."""
     def page(i):
