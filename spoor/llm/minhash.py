@@ -65,7 +65,7 @@ def _sketches(batches: Iterator[pa.RecordBatch], k: int, r: int, m: int) -> Iter
         # the sums also hold the size, so that one 64-bit value names a set
         h1 = K.mix(h1 + K.mix(h2) + sizes.astype(np.uint64))
         values = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * (2 * m)), pa.array(bands.view(np.int64).ravel()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), values], names=["doc_id", "n", "h1", "h2", "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), values, batch.column(2)], names=["doc_id", "n", "h1", "h2", "bands", "text_hash"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -85,10 +85,10 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
 
 def classes(docs: DataFrame, *, k: int = 5, percent: int = 80, r: int = R, m: int = M) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs(doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    rows = docs.mapInArrow(lambda it: _sketches(it, k, r, m), "doc_id long, n int, h1 long, h2 long, bands array<long>")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.xxhash64("text").alias("text_hash"))
+    rows = docs.mapInArrow(lambda it: _sketches(it, k, r, m), "doc_id long, n int, h1 long, h2 long, bands array<long>, text_hash long")
     rows = materialize(rows, "sketches")
-    sets = rows.where("n > 0").groupBy("h1", "h2").agg(F.first("n").alias("n"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows"), F.first("bands").alias("bands"))
+    sets = rows.where("n > 0").groupBy("h1", "h2").agg(F.first("n").alias("n"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows"), F.first("bands").alias("bands"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("row"))
     sets = materialize(sets, "sets").withColumnRenamed("h1", "node")
 
     bands = sets.select("node", "n", F.posexplode("bands").alias("i", "band"))
@@ -104,9 +104,9 @@ def classes(docs: DataFrame, *, k: int = 5, percent: int = 80, r: int = R, m: in
     def full_sets() -> DataFrame:
         """The shingle sets of the classes that share a key with another."""
         if "sets" not in memo:
-            named = materialize(own.select("node").join(sets.select("node", "least"), "node").select("node", F.col("least").alias("doc_id")), "named")
-            # a doc_id may stand for several texts: the set's own hash decides
-            texts = docs.join(named, docs.doc_id.eqNullSafe(named.doc_id)).select(named.node, "text").dropDuplicates(["node"])
+            named = materialize(own.select("node").join(sets.select("node", "row.doc_id", "row.text_hash"), "node"), "named")
+            # a doc_id may stand for several texts, and texts may have none: the hash of a row's own text decides, so a row has at most one node
+            texts = docs.join(named, docs.doc_id.eqNullSafe(named.doc_id) & (docs.text_hash == named.text_hash)).select(named.node, "text").groupBy("node").agg(F.first("text").alias("text"))
             memo["sets"] = materialize(texts.mapInArrow(lambda it: _sets(it, k), "node long, shingles array<long>, bits array<long>"), "full-sets")
         return memo["sets"]
 

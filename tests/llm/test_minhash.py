@@ -61,6 +61,17 @@ def test_components_are_those_of_all_pairs(spark, seed):
     assert found == {d: x for (d, _), x in zip(docs, brute(docs))}
 
 
+def test_ids_with_several_texts_and_texts_without_id(spark):
+    rng = random.Random(7)
+    base = [[f"v{rng.randrange(900)}" for _ in range(90)] for _ in range(8)]
+    near = lambda w, i: " ".join([*w[:i], "edit", *w[i + 1 :]])
+    docs = [(1, " ".join(w)) for w in base[:4]] + [(10 + i, near(w, 40)) for i, w in enumerate(base[:4])]
+    docs += [(None, " ".join(w)) for w in base[4:]] * 2 + [(None, near(w, 50)) for w in base[4:]] + [(20, near(base[4], 60))]
+    found = minhash.classes(spark.createDataFrame(docs, "doc_id long, text string"), k=4).collect()
+    key = lambda x: tuple(-1 if v is None else v for v in x)
+    assert sorted((key((r.doc_id, r.n_shingles, r.component_id)) for r in found)) == sorted(key((d, *x)) for (d, _), x in zip(docs, brute(docs)))
+
+
 def test_odd_rows(spark, odd_docs):
     found = minhash.classes(odd_docs, k=4).collect()
     assert sorted((r.doc_id or -1, r.n_shingles, r.component_id) for r in found) == [(-1, 1, 4), (1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (5, 1, 4), (5, 1, 4), (6, 10, 6), (7, 8, 7)]
