@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -171,3 +173,41 @@ def vector_search(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
     q = F.array(*(F.lit(float(x)) for x in query))
     square = F.aggregate(F.zip_with("embedding", q, lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, x: s + x)
     return vectors.select("vec_id", F.sqrt(square).alias("distance")).orderBy("distance", "vec_id").limit(k)
+
+
+def vector_search_all(vectors: DataFrame, queries: DataFrame, k: int, block: int = 256) -> DataFrame:
+    """(query_id, rank, vec_id): the k nearest vectors(vec_id, embedding) of each of queries(query_id, embedding) by Euclidean
+    distance, exact, ties by vec_id. Queries go in blocks of about that many, one pass over the vectors each. Null embeddings are neither
+    searched nor found, null ids are neither too, and vectors of another length than the query's are not found."""
+    known = queries.where("query_id is not null and embedding is not null")
+    blocks = max(1, -(-known.count() // block))
+    schema, found = "query_id long, vec_id long, distance double", None
+    for i in range(blocks):
+        own = [(r.query_id, np.array(r.embedding, float)) for r in known.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).collect()]  # about block rows
+        given = vectors.sparkSession.sparkContext.broadcast(own)
+
+        def nearest(batches, given=given):
+            for batch in batches:
+                ids, lists = batch.column(0), batch.column(1)
+                sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+                out = []
+                for size in {len(q) for _, q in given.value}:
+                    rows = np.flatnonzero(sizes == size)
+                    if not len(rows):
+                        continue
+                    x = lists.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, size)
+                    names = ids.take(pa.array(rows)).to_numpy(zero_copy_only=False)
+                    for query_id, q in given.value:
+                        if len(q) != size:
+                            continue
+                        d = np.sqrt(((x - q) ** 2).sum(1))
+                        near = np.flatnonzero(d <= np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1])
+                        near = near[np.lexsort((names[near], d[near]))[:k]]
+                        out += [(query_id, int(names[j]), float(d[j])) for j in near]
+                columns = list(zip(*out)) or [[]] * 3
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "distance"])
+
+        one = vectors.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(nearest, schema)
+        found = one if found is None else found.union(one)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spoor.functions import attributes as A
 from spoor.operators import answers, catalogue, classify, dashboards, reports, retrieval
 
-from .fixtures import evidence, executions, view
+from .fixtures import EMPTY_EXECUTIONS_SQL, empty_executions, evidence, executions, view
 from .queries import _AT, _EV, _EX, query
 
 _FIRST = "row_number() OVER (PARTITION BY investigation_id ORDER BY {0})"
@@ -22,10 +22,11 @@ def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.parsed(evidence(spark, sf_dir))
 
 
-def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Executions with an error text for failed ones and a time."""
+def runs(spark: SparkSession, sf_dir: str, *, empty: bool = False) -> DataFrame:
+    """Executions with an error text for failed ones and a time; empty: with those that have no rows."""
     error = F.when((F.col("execution_status") == "failed") & (F.col("id") % 2 == 0), F.concat(F.lit("trace\nstopped at "), F.col("id").cast("string")))
-    return executions(spark, sf_dir).withColumn("error", error).withColumn("executed_at", F.timestamp_seconds(F.col("id") * 60))
+    found = executions(spark, sf_dir).unionByName(empty_executions(spark, sf_dir)) if empty else executions(spark, sf_dir)
+    return found.withColumn("error", error).withColumn("executed_at", F.timestamp_seconds(F.col("id") * 60))
 
 
 _RUNS = _EX + ", runs AS (SELECT *, CASE WHEN execution_status = 'failed' AND id % 2 = 0 THEN 'stopped at ' || CAST(id AS STRING) END AS error FROM ex)"
@@ -170,6 +171,11 @@ def unavailable_plugins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dashboards.unavailable_plugins(runs(spark, sf_dir), evidence(spark, sf_dir).where("id % 2 = 0 and risk_level = 'high' and id < 500"))
 
 
+@query(f"WITH {_EV}, {_EX}, runs AS (SELECT *, CASE WHEN execution_status = 'failed' AND id % 2 = 0 THEN 'stopped at ' || CAST(id AS STRING) END AS error FROM (SELECT * FROM ex UNION ALL ({EMPTY_EXECUTIONS_SQL})) u) SELECT DISTINCT investigation_id, plugin_name, coalesce(error, execution_status) AS reason FROM runs WHERE execution_status <> 'completed' AND id NOT IN (SELECT execution_id FROM ev)")
+def unavailable_plugins_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dashboards.unavailable_plugins(runs(spark, sf_dir, empty=True), evidence(spark, sf_dir))
+
+
 @query(f"WITH {_EV}, n AS (SELECT *, row_number() OVER (PARTITION BY investigation_id, artifact_type ORDER BY id) AS k FROM ev) SELECT investigation_id, artifact_type, count(*) AS n, CAST(round(avg(confidence_score)) AS INT) AS confidence, string_agg(CAST(id AS STRING), ',' ORDER BY id) FILTER (k <= 30) AS ids, greatest(count(*) - 30, 0) AS more FROM n GROUP BY 1, 2")
 def evidence_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dashboards.evidence_summary(evidence(spark, sf_dir))

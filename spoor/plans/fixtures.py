@@ -31,6 +31,13 @@ SELECT DISTINCT user_id % 7 * 9 + event_id % 9 AS id, 'INV-' || CAST(user_id % 7
 FROM events
 """
 
+#: A second part of the executions: those of a plugin that has no rows.
+EMPTY_EXECUTIONS_SQL = """
+SELECT DISTINCT 63 + user_id % 7 AS id, 'INV-' || CAST(user_id % 7 AS STRING) AS investigation_id, 'windows.pstree' AS plugin_name,
+  CASE user_id % 7 % 3 WHEN 0 THEN 'failed' WHEN 1 THEN 'running' ELSE 'completed' END AS execution_status
+FROM events
+"""
+
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -40,5 +47,9 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(EVIDENCE_SQL.replace("FROM events", f"FROM parquet.`{sf_dir}/events.parquet`"))
 
 
+def empty_executions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(EMPTY_EXECUTIONS_SQL.replace("FROM events", f"FROM parquet.`{sf_dir}/events.parquet`"))
+
+
 def executions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(EXECUTIONS_SQL.replace("FROM events", f"FROM parquet.`{sf_dir}/events.parquet`"))

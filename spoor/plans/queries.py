@@ -188,4 +188,10 @@ def vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.vector_search(vectors, query_vector, 20).select("vec_id")
 
 
+@query("WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 50 = 0), d AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY list_distance(CAST(embedding AS DOUBLE[]), CAST(q.e AS DOUBLE[])), vec_id) AS rank FROM embeddings, q) SELECT query_id, CAST(rank AS INT) AS rank, vec_id FROM d WHERE rank <= 20")
+def vector_search_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = view(spark, sf_dir, "embeddings")
+    return reports.vector_search_all(vectors, vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 20)
+
+
 from . import case_queries  # noqa: E402, F401  registers its queries here
