@@ -1,9 +1,10 @@
 """Personal data: pattern spans, and terms that give protected entities away.
 
 All on DataFrame functions. Patterns give the base spans. A protected entity is a span's kind and text. Terms (runs of four or
-more letters) among the nearest eight on either side of an entity are counted with it, over all
+more letters) are counted with the entities of their whole documents, over all
 documents; a term's disclosure is P(entity | term) = documents in which they stand together / documents with the
-term. A term that stands by one entity in at least two different texts, and whose
+term. Words that hold digits or @ give no terms of their own. A pair is formed only where it can reach GENERALISE: the term is in at most 1 / GENERALISE times as
+many documents as the entity, which loses none. A term that stands with one entity in at least two different texts, and whose
 disclosure reaches GENERALISE, is a further span wherever it occurs: it is replaced by [term], and from REMOVE
 on it is left out. Base spans are replaced by their kind.
 
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .storage import materialize
 
-GENERALISE, REMOVE, NEAREST, REACH, SUPPORT = 0.5, 0.9, 8, 160, 2
+GENERALISE, REMOVE, SUPPORT = 0.5, 0.9, 2
 KINDS = ("email", "ip", "card", "phone")
 #: One character each for a dot or separator inside a run; texts that hold them get another private character.
 _DOT, _SEP, _OTHER = "\ue000", "\ue001", "\ue002"
@@ -85,28 +86,30 @@ def _terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"(?<!\p{L})\p{L}{4,}+"), F.lit(0))
 
 
-def _near(text: Column, span: Column) -> Column:
-    """The nearest terms on both sides, without words that hold digits or @."""
-    clean = lambda c: F.regexp_replace(c, r"\S*[@0-9]\S*", " ")
-    left = _terms(clean(F.substring(text, F.greatest(span["start"] - REACH, F.lit(0)) + 1, F.least(span["start"], F.lit(REACH)))))
-    right = _terms(clean(F.substring(text, span["end"] + 1, F.lit(REACH))))
-    return F.array_distinct(F.concat(F.slice(left, F.greatest(F.size(left) - NEAREST, F.lit(0)) + 1, F.lit(NEAREST)), F.slice(right, 1, NEAREST)))
+def _free_terms(text: Column) -> Column:
+    """The terms without words that hold digits or @."""
+    return F.array_distinct(_terms(F.regexp_replace(text, r"(?<!\S)[^\s@0-9]*+[@0-9]\S*+", " ")))
 
 
 def disclosing_terms(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, terms): the terms of a document that disclose an entity, as an array of (term, disclosure)."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", text.alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    spans = rows.withColumn("span", F.explode(base_spans(F.col("text"))))
-    near = spans.select("doc_id", "text_hash", F.xxhash64("span.kind", "span.value").alias("entity"), F.explode(_near(F.col("text"), F.col("span"))).alias("term"))
-    near = near.distinct().groupBy("entity", "term", "text_hash").agg(F.count(F.lit(1)).alias("docs"))
-    pairs = near.groupBy("entity", "term").agg(F.sum("docs").alias("together"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= SUPPORT)
-    best = materialize(pairs.groupBy("term").agg(F.max("together").alias("together")), "near-terms")
+    held = F.array_distinct(F.transform(base_spans(F.col("text")), lambda s: F.xxhash64(s["kind"], s["value"])))
+    entities = rows.select("text_hash", F.explode(held).alias("entity")).groupBy("text_hash", "entity").agg(F.count(F.lit(1)).alias("rows"))
+    entities = materialize(entities, "entities")
+    spread = entities.groupBy("entity").agg(F.count(F.lit(1)).alias("texts"), F.sum("rows").alias("most")).where(F.col("texts") >= SUPPORT)
+    entities = materialize(entities.join(spread.select("entity", "most"), "entity"), "recurring-entities")
+    limit = entities.groupBy("text_hash").agg(F.max("most").alias("most"))
+    often = materialize(rows.select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("docs")), "term-docs")
+    reachable = F.col("docs") * GENERALISE <= F.col("most")
+    free = rows.join(limit, "text_hash").select("text_hash", "most", F.explode(_free_terms(F.col("text"))).alias("term")).join(often.where(F.col("docs") >= SUPPORT), "term").where(reachable)
+    free = materialize(free.select("text_hash", "term", "docs").distinct(), "free-terms")
+    pairs = free.join(entities, "text_hash").where(reachable).groupBy("entity", "term").agg(F.sum("rows").alias("together"), F.count(F.lit(1)).alias("texts"), F.first("docs").alias("docs"))
+    pairs = pairs.where(F.col("texts") >= SUPPORT).withColumn("disclosure", F.col("together") / F.col("docs")).where(F.col("disclosure") >= GENERALISE)
+    told = materialize(pairs.groupBy("term").agg(F.max("disclosure").alias("disclosure")), "told")
     words = rows.select("doc_id", "text_hash", F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
-    hits = materialize(words.join(best.select("term"), "term", "left_semi"), "term-rows")
-    often = hits.groupBy("term").agg(F.count(F.lit(1)).alias("docs"))
-    told = materialize(best.join(often, "term").withColumn("disclosure", F.col("together") / F.col("docs")).where(F.col("disclosure") >= GENERALISE).select("term", "disclosure"), "told")
-    found = hits.join(told, "term").distinct().groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("term", "disclosure"))).alias("terms"))
+    found = words.join(told, "term").distinct().groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("term", "disclosure"))).alias("terms"))
     return materialize(found, "doc-terms")
 
 

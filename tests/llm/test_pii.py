@@ -72,3 +72,10 @@ def test_disclosing_terms_and_odd_rows(spark, odd_docs):
     assert found[12].sanitized == rows[6][1]
     assert pii.annotate(odd_docs).count() == odd_docs.count()
     assert pii.annotate(odd_docs.limit(0)).count() == 0
+
+
+def test_terms_far_from_their_entity(spark):
+    filler = "lorem ipsum dolor amet " * 30
+    rows = [(i, f"Zebulon {filler} {'abcdefgh'[i] * 5} writes zeb@mail.org") for i in range(4)] + [(10 + i, f"{filler} writes {'mnopqrst'[i] * 6}") for i in range(8)]
+    found = {r.doc_id: r.sanitized for r in pii.annotate(spark.createDataFrame([*rows, (30, "for ZEBULON only")], "doc_id long, text string")).collect()}
+    assert "Zebulon" not in found[0] and "lorem" in found[0] and "writes" in found[0] and found[30] == "for [term] only" and found[12] == rows[6][1]
