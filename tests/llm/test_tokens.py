@@ -1,3 +1,4 @@
+import json
 import zlib
 from collections import defaultdict
 
@@ -104,3 +105,31 @@ def test_packing_limits_on_segments_and_loss(spark):
         count[r.sequence_id] += 1
     assert max(loss.values()) <= 40 and max(count.values()) <= 3
     check_packing(rows, {r.doc_id: r.text for r in docs.collect()}, 64, 3)
+
+
+def test_other_tokenizer_files_are_used_whole(tmp_path):
+    told = json.loads(WHOLE[BYTE].to_str())
+    told["pre_tokenizer"]["add_prefix_space"] = True
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(told))
+    texts = ["two words", " it's 12 a\n\nb", "日本 x"]
+    assert [np.frombuffer(encoder(str(path)).encode(t), "<u4").tolist() for t in texts] == [ids(str(path), t) for t in texts]
+    assert encoder(BYTE).byte and encoder(WORD).word and not encoder(str(path)).byte
+
+
+def test_limits_bind_and_leave_no_padding():
+    rng = np.random.default_rng(2)
+    packer = packing.Packer(0, 64, 4, 48, 6)
+    sizes = rng.choice([1, 2, 3, 9, 30, 64, 65, 300], 400)
+    for doc, n in enumerate(sizes.tolist()):
+        packer.add(packing.Piece(doc, bytes(4 * n), 0, 0, n, n, n // 4))
+    packer.finish()
+    at, loss, count, length = defaultdict(int), defaultdict(int), defaultdict(int), defaultdict(int)
+    for doc, start, size, _, total, sequence, offset in sorted(packer.out, key=lambda r: (r[0], r[1])):
+        assert start == at[doc] and total == sizes[doc]
+        at[doc] += size
+        loss[sequence] += max(0, min(start + size, total - 1) - max(start, total // 4))
+        count[sequence] += 1
+        length[sequence] += size
+    assert at == {d: n for d, n in enumerate(sizes)}
+    assert max(loss.values()) == 48 and max(count.values()) == 4 and all(n == 64 or n & (n - 1) == 0 for n in length.values())
