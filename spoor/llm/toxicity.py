@@ -3,7 +3,7 @@
 Features of a text: its distinct words, their stems (first four characters), word pairs
 and pairs one word apart, hashed to 2**bits coordinates; words are runs of letters and
 digits of the lower-cased text. Each
-shard of about SHARD_ROWS rows of a bounded labelled sample trains FTRL-proximal with per-coordinate rates and
+shard of at most about SHARD_ROWS rows, two at least, of a bounded labelled sample trains FTRL-proximal with per-coordinate rates and
 L1 on hashed feature numbers, not texts; the shards' sparse weights are averaged, and the few weights that are left are
 broadcast (at most 2**bits float32) to score all texts whole.
 
@@ -89,7 +89,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: Column, *, sample_rows
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & train_rows)
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("rank", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)))
     total = known.count()
-    shards = max(1, -(-min(total, sample_rows) // shard_rows))
+    shards = max(2, -(-min(total, sample_rows) // shard_rows))  # two at least: what one shard alone finds is less sure
     if total > sample_rows:
         known = known.where(F.col("rank") < int((1 << 40) * sample_rows / total))
     picked = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # at most about sample_rows small rows
