@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .linking import connected_components, link_members
-from .storage import materialize
+from .storage import materialize, scope, small
 
 R, M = 3, 16
 WORDS = 8
@@ -87,14 +87,23 @@ def classes(docs: DataFrame, *, k: int = 5, percent: int = 80, r: int = R, m: in
     """(doc_id, n_shingles, component_id) of every row of docs(doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.xxhash64("text").alias("text_hash"))
     rows = docs.mapInArrow(lambda it: _sketches(it, k, r, m), "doc_id long, n int, h1 long, h2 long, bands array<long>, text_hash long")
-    rows = materialize(rows, "sketches")
+    rows = materialize(rows, "sketches", keep=True)
+    with scope(docs.sparkSession):
+        moved = materialize(_moved(docs, rows, k, percent, m), "moved", keep=True)
+    known = rows.select("doc_id", "n", "h1", "h2").join(small(moved).withColumn("found", F.lit(True)), ["h1", "h2"], "left")
+    return known.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("found") & (F.col("n") > 0), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def _moved(docs: DataFrame, rows: DataFrame, k: int, percent: int, m: int) -> DataFrame:
+    """(h1, h2, component_id) of the sets whose rows' component is not their own doc_id."""
     sets = rows.where("n > 0").groupBy("h1", "h2").agg(F.first("n").alias("n"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows"), F.first("bands").alias("bands"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("row"))
     sets = materialize(sets, "sets").withColumnRenamed("h1", "node")
 
     bands = sets.select("node", "n", F.posexplode("bands").alias("i", "band"))
     shared = materialize(bands.groupBy("i", "band").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("i", "band"), "shared-bands")
-    alive = bands.join(shared, ["i", "band"], "left_semi")
+    alive = bands.join(small(shared), ["i", "band"], "left_semi")
     own = alive.groupBy("node").agg(F.first("n").alias("n"), F.collect_list(F.struct("i", "band")).alias("own"))  # at most 2 M
+    own = materialize(own, "shared-own")
     first, second = F.filter("own", lambda x: x["i"] < m), F.filter("own", lambda x: x["i"] >= m)
     tables = own.where((F.size(first) > 0) & (F.size(second) > 0)).select("node", "n", F.explode(first).alias("u"), second.alias("second")).select("node", "n", "u", F.explode("second").alias("v"))
     members = tables.select(F.xxhash64("u.i", "u.band", "v.i", "v.band").alias("key"), "node", "n")
@@ -106,12 +115,16 @@ def classes(docs: DataFrame, *, k: int = 5, percent: int = 80, r: int = R, m: in
         if "sets" not in memo:
             named = materialize(own.select("node").join(sets.select("node", "row.doc_id", "row.text_hash"), "node"), "named")
             # a doc_id may stand for several texts, and texts may have none: the hash of a row's own text decides, so a row has at most one node
-            texts = docs.join(named, docs.doc_id.eqNullSafe(named.doc_id) & (docs.text_hash == named.text_hash)).select(named.node, "text").groupBy("node").agg(F.first("text").alias("text"))
-            memo["sets"] = materialize(texts.mapInArrow(lambda it: _sets(it, k), "node long, shingles array<long>, bits array<long>"), "full-sets")
+            texts = docs.join(small(named), docs.doc_id.eqNullSafe(named.doc_id) & (docs.text_hash == named.text_hash)).select(named.node, "text")
+            found = materialize(texts.mapInArrow(lambda it: _sets(it, k), "node long, shingles array<long>, bits array<long>"), "full-sets")
+            # rows that repeat a doc_id and its text have equal sets
+            memo["sets"] = found if found.count() == named.count() else materialize(found.dropDuplicates(["node"]), "full-sets")
         return memo["sets"]
 
     def verify(pairs: DataFrame) -> DataFrame:
-        s = full_sets()
+        """pairs is read from files. Only the sets of its nodes are shuffled."""
+        ends = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "pair-nodes")
+        s = full_sets().join(small(ends), "node", "left_semi")
         left, right = s.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), s.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
         both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("sa", "sb")).cast("long"))
         return both.where(100 * F.col("common") >= percent * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b")
@@ -119,15 +132,16 @@ def classes(docs: DataFrame, *, k: int = 5, percent: int = 80, r: int = R, m: in
     def rest(left: DataFrame, links: DataFrame) -> DataFrame:
         """Pairs of unsettled classes in different components that share a shingle of their prefixes where both can still
         reach the overlap: by the prefix, positional and bitmap filters, all that can link."""
-        token = left.join(full_sets().drop("bits"), "node").select("node", "n", "comp", F.explode("shingles").alias("s"))
-        often = token.groupBy("s").agg(F.count(F.lit(1)).alias("df"))
-        order = Window.partitionBy("node").orderBy("df", "s")
+        token = full_sets().select("node", F.explode("shingles").alias("s")).join(small(left.select("node")), "node", "left_semi")
+        # a shingle that no other unsettled class has is common to no pair, and comes first in every order
+        often = materialize(token.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "common-shingles")
+        held = Window.partitionBy("node")
+        ranked = token.join(small(often), "s").withColumn("known", F.count(F.lit(1)).over(held)).withColumn("rank", F.row_number().over(held.orderBy("df", "s")))
+        own = full_sets().select("node", "bits").join(small(left), "node")
+        prefix = ranked.join(small(materialize(own, "unsettled-bits")), "node").withColumn("rank", F.col("n") - F.col("known") + F.col("rank"))
         # the smaller set of a pair needs a shorter prefix: their overlap is at least 2 p / (1 + p) of its size
         probe, index = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1, F.col("n") - F.ceil(F.col("n") * 2 * percent / (100 + percent) - F.lit(1e-9)) + 1
-        # a shingle that no other unsettled class has is common to no pair
-        known = F.sum((F.col("df") > 1).cast("int")).over(Window.partitionBy("node"))
-        prefix = token.join(often, "s").withColumn("rank", F.row_number().over(order)).withColumn("known", known).where((F.col("rank") <= probe) & (F.col("df") > 1))
-        prefix = prefix.select("s", "node", "n", "comp", "rank", "known", (F.col("rank") <= index).alias("short")).join(full_sets().select("node", "bits"), "node")
+        prefix = prefix.where(F.col("rank") <= probe).select("s", "node", "n", "comp", "rank", "known", (F.col("rank") <= index).alias("short"), "bits")
         prefix = materialize(prefix, "prefixes")
         x, y = (prefix.select("s", "short", *(F.col(c).alias(f"{c}{i}") for c in ("node", "n", "comp", "rank", "known", "bits"))) for i in (1, 2))
         smaller = (F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("node1") < F.col("node2")))
@@ -146,11 +160,10 @@ def classes(docs: DataFrame, *, k: int = 5, percent: int = 80, r: int = R, m: in
 
     links = materialize(link_members(members, may_link, verify, rest), "all-links")
     comps = connected_components(links)
-    placed = sets.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    placed = sets.join(small(comps), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = placed.groupBy("comp").agg(F.min("least").alias("component_id"))
-    moved = materialize(placed.join(least, "comp").where((F.col("rows") > 1) | (F.col("comp") != F.col("node")) | ~F.col("component_id").eqNullSafe(F.col("least"))).select(F.col("node").alias("h1"), "h2", "component_id"), "moved")
-    known = rows.select("doc_id", "n", "h1", "h2").join(moved.withColumn("found", F.lit(True)), ["h1", "h2"], "left")
-    return known.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("found") & (F.col("n") > 0), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    changed = (F.col("rows") > 1) | (F.col("comp") != F.col("node")) | ~F.col("component_id").eqNullSafe(F.col("least"))
+    return placed.join(least, "comp").where(changed).select(F.col("node").alias("h1"), "h2", "component_id")
 
 
 def keep_one(docs: DataFrame, **settings: int) -> DataFrame:
