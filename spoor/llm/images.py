@@ -1,8 +1,9 @@
 """Copies among a media column's images by local descriptors.
 
-Corners are found at several scales (Harris response, local maxima, the POINTS strongest of an image), turned to the
+Corners are found at scales a quarter of an octave apart (Harris response, local maxima; an image's strongest, one for AREA pixels and
+POINTS at least), turned to the
 direction of their patch's centre of mass, and described by 256 binary tests of smoothed pixels. Descriptors meet in a
-Hamming table: equal 64-bit quarters make images candidates. A candidate pair is confirmed by geometric
+Hamming table: images are candidates where descriptors have equal first KEY_BITS of a quarter and at most NEXT_BITS different ones in the next quarter. A candidate pair is confirmed by geometric
 consensus: matches within MAX_BITS vote for one similarity transform (turn, scale, shift) in overlapping bins, and at
 least MIN_VOTES different points must agree. Images of equal bytes are one class before any search; large table cells
 are resolved by linking.link_members, without a cap.
@@ -25,7 +26,8 @@ from pyspark.sql import functions as F
 from .linking import connected_components, link_members
 from .storage import materialize
 
-POINTS, SCALES, RADIUS, MAX_BITS, MIN_VOTES = 48, 3, 12, 40, 6
+POINTS, AREA, SCALES, RADIUS, MAX_BITS, MIN_VOTES = 48, 192, 5, 12, 40, 6
+KEY_BITS, NEXT_BITS = 40, 20
 SHIFT_BIN, TURN_BIN, SCALE_BIN = 12.0, 0.5, 0.5  # pixels, radians, octaves
 SIDE, GRID = 96, 20
 IMAGE = "image_id long, source_id long, edit string, width int, height int, pixels binary"
@@ -91,11 +93,22 @@ def _box(a: np.ndarray, r: int) -> np.ndarray:
     return (p[n:, n:] - p[:-n, n:] - p[n:, :-n] + p[:-n, :-n]) / (n * n)
 
 
+def _sampled(a: np.ndarray, py: np.ndarray, px: np.ndarray) -> np.ndarray:
+    """a between its pixels, bilinear, clipped to its edges."""
+    py, px = py.clip(0, a.shape[0] - 1.001), px.clip(0, a.shape[1] - 1.001)
+    i, j = py.astype(np.int64), px.astype(np.int64)
+    fy, fx = py - i, px - j
+    flat, at = a.ravel(), i * a.shape[1] + j
+    top = flat[at] * (1 - fx) + flat[at + 1] * fx
+    at += a.shape[1]
+    return top * (1 - fy) + (flat[at] * (1 - fx) + flat[at + 1] * fx) * fy
+
+
 def describe(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(points as x, y, scale, angle in the image's pixels; descriptors as 4 int64 each)."""
-    found = []
+    """(points as x, y, scale, angle in the image's pixels; descriptors as 4 int64 each) of the strongest corners."""
+    levels, corners = [], []
     for level in range(SCALES):
-        f = 2.0 ** (level / 2)
+        f = 2.0 ** (level / 4)
         h, w = int(a.shape[0] / f), int(a.shape[1] / f)
         if min(h, w) < 2 * RADIUS + 4:
             break
@@ -108,24 +121,25 @@ def describe(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         inner = np.zeros_like(r, bool)
         inner[e : h - e, e : w - e] = True
         y, x = np.nonzero((r >= best) & inner & (r > 1e-3 * max(r.max(), 1e-9)))
+        levels.append((f, (a.shape[0] - 1) / (h - 1), (a.shape[1] - 1) / (w - 1), s))
+        corners.append(np.stack([r[y, x], np.full(len(y), level), y, x]))
+    if not corners:
+        return np.zeros((0, 4)), np.zeros((0, 4), np.int64)
+    found = np.concatenate(corners, 1)
+    found = found[:, np.argsort(-found[0], kind="stable")[: max(POINTS, a.size // AREA)]]
+    points, words = [], []
+    for level, (f, fy, fx, s) in enumerate(levels):
+        y, x = found[2:, found[1] == level].astype(np.int64)
         if not len(y):
             continue
         patch = s[y[:, None] + _DY, x[:, None] + _DX]
         angle = np.arctan2((patch * _DY).sum(1), (patch * _DX).sum(1))
         c, n = np.cos(angle)[:, None], np.sin(angle)[:, None]
         smooth = _box(s, 1)
-
-        def sampled(px: np.ndarray, py: np.ndarray) -> np.ndarray:
-            return smooth[np.rint(y[:, None] + n * px + c * py).astype(int).clip(0, h - 1), np.rint(x[:, None] + c * px - n * py).astype(int).clip(0, w - 1)]
-
-        bits = sampled(_PAIRS[:, 0], _PAIRS[:, 1]) < sampled(_PAIRS[:, 2], _PAIRS[:, 3])
-        words = np.packbits(bits, axis=1).view(">i8").astype(np.int64)
-        found.append((r[y, x], np.stack([x * f, y * f, np.full(len(x), f), angle], 1), words))
-    if not found:
-        return np.zeros((0, 4)), np.zeros((0, 4), np.int64)
-    strength, points, words = (np.concatenate(x) for x in zip(*found))
-    order = np.argsort(-strength, kind="stable")[:POINTS]
-    return points[order], words[order]
+        one, two = (_sampled(smooth, y[:, None] + n * px + c * py, x[:, None] + c * px - n * py) for px, py in ((_PAIRS[:, 0], _PAIRS[:, 1]), (_PAIRS[:, 2], _PAIRS[:, 3])))
+        points.append(np.stack([x * fx, y * fy, np.full(len(x), f), angle], 1))
+        words.append(np.packbits(one < two, axis=1).view(">i8").astype(np.int64))
+    return np.concatenate(points or [np.zeros((0, 4))]), np.concatenate(words or [np.zeros((0, 4), np.int64)])
 
 
 def _descriptors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,8 +159,7 @@ def _descriptors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def copies(images: DataFrame) -> DataFrame:
-    """(image_id, class_id, n_links, n_points) of every image: class_id is the least image_id of its component, n_links the
-    number of different images linked with it directly."""
+    """(image_id, class_id, n_points) of every image: class_id is the least image_id of its component."""
     rows = images.select(F.col("image_id").cast("long").alias("image_id"), F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height"), "pixels")
     full = F.octet_length("pixels") > 0
     rows = rows.withColumn("node", F.when(full, F.xxhash64("width", "height", F.md5("pixels"))))
@@ -154,8 +167,12 @@ def copies(images: DataFrame) -> DataFrame:
     sets = materialize(seen.where("node is not null").groupBy("node").agg(F.min("image_id").alias("least")), "image-classes")
     one = rows.where("node is not null").dropDuplicates(["node"]).select("node", "width", "height", "pixels")
     desc = materialize(one.mapInArrow(_descriptors, "node long, p int, x double, y double, s double, t double, d0 long, d1 long, d2 long, d3 long"), "descriptors")
-    quarter = F.explode(F.array(*(F.xxhash64(F.lit(i), f"d{i}") for i in range(4))))
-    members = materialize(desc.select("node", quarter.alias("key")).distinct().withColumn("n", F.lit(1)), "cells")
+    # a cell's key is the first bits of a quarter; the next quarter goes with it, to tell chance meetings early
+    cell = F.explode(F.array(*(F.struct(F.xxhash64(F.lit(i), F.shiftrightunsigned(f"d{i}", 64 - KEY_BITS)).alias("key"), F.col(f"d{(i + 1) % 4}").alias("n")) for i in range(4))))
+    members = materialize(desc.select("node", cell.alias("c")).select("c.key", "node", "c.n").distinct(), "cells")
+
+    def may_link(x: str, y: str) -> F.Column:
+        return F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= NEXT_BITS
 
     def verify(pairs: DataFrame) -> DataFrame:
         a, b = (desc.select(*(F.col(c).alias(f"{c}_{x}") for c in desc.columns)) for x in "ab")
@@ -177,16 +194,14 @@ def copies(images: DataFrame) -> DataFrame:
         return votes.where((F.col("va") >= MIN_VOTES) & (F.col("vb") >= MIN_VOTES)).select("a", "b").distinct()
 
     def rest(left: DataFrame, links: DataFrame) -> DataFrame:
-        cells = members.select("key", "node").join(left.select("node", "comp"), "node")
-        x, y = cells.select("key", F.col("node").alias("a"), F.col("comp").alias("ca")), cells.select("key", F.col("node").alias("b"), F.col("comp").alias("cb"))
-        return x.join(y, "key").where("a < b and ca <> cb").select("a", "b").distinct().join(links, ["a", "b"], "left_anti")
+        cells = members.join(left.select("node", "comp").distinct(), "node")
+        x, y = cells.select("key", "n", F.col("node").alias("a"), F.col("comp").alias("ca")), cells.select("key", F.col("n").alias("m"), F.col("node").alias("b"), F.col("comp").alias("cb"))
+        return x.join(y, "key").where(may_link("n", "m")).where("a < b and ca <> cb").select("a", "b").distinct().join(links, ["a", "b"], "left_anti")
 
-    links = materialize(link_members(members, lambda x, y: F.lit(True), verify, rest), "image-links")
+    links = materialize(link_members(members, may_link, verify, rest), "image-links")
     comps = connected_components(links)
-    ends = links.select(F.col("a").alias("node"), F.col("b").alias("other")).union(links.select("b", "a")).distinct().groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     placed = sets.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = placed.groupBy("comp").agg(F.min("least").alias("class_id"))
     points = desc.groupBy("node").agg(F.count(F.lit(1)).alias("n_points"))
-    classes = materialize(placed.join(least, "comp").join(ends, "node", "left").join(points, "node", "left").select("node", "class_id", "n_links", "n_points"), "image-class")
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return seen.join(classes, "node", "left").select("image_id", F.when(F.col("node").isNull(), F.col("image_id")).otherwise(F.col("class_id")).alias("class_id"), zero("n_links"), zero("n_points"))
+    classes = materialize(placed.join(least, "comp").join(points, "node", "left").select("node", "class_id", "n_points"), "image-class")
+    return seen.join(classes, "node", "left").select("image_id", F.when(F.col("node").isNull(), F.col("image_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_points", F.lit(0)).cast("long").alias("n_points"))
