@@ -2,6 +2,7 @@ import base64
 import hashlib
 import html
 import re
+import time
 
 import numpy as np
 
@@ -140,3 +141,34 @@ def test_image_edits_are_found_and_unlike_images_are_not(spark):
     found = {r.image_id: r.class_id for r in images.copies(spark.createDataFrame(rows, "image_id long, width int, height int, pixels binary")).collect()}
     assert all(c // len(edits) == i // len(edits) for i, c in found.items())
     assert sum(c == i // len(edits) * len(edits) for i, c in found.items()) >= 0.95 * len(rows)
+
+
+def test_html_odd_markup():
+    assert text_of("<p><b>Hello</b> <i>world</i></p>") == "Hello world"
+    assert text_of("<p title=it's>Text one</p><p>don't stop</p>") == "Text one\ndon't stop"
+    assert text_of("<ul><li class=ads>ad<li>content two<li>three</ul>") == "content two\nthree"
+    assert text_of("<p class=notice>note<div>real text</div><p>more") == "real text\nmore"
+    assert text_of("<article><h2 id=related>Related work</h2><p>x</p></article>") == "Related work\nx"
+    assert text_of("<dl><dt class=ad>a<dd>b<dt>c</dl><table><tr class=ad><td>d<td>e<tr><td>f</table>") == "b\nc\nf"
+    assert text_of("<p>a<script>1</script> <i>b</i> <span class=ad>x</span>c</p>") == "a b c"
+    assert text_of("<p>1 < 2 & 3</p><p>b<") == "1 < 2 & 3\nb<"
+
+
+def test_hostile_pages_are_read_once():
+    began = time.process_time()
+    for page in ("<a '" * 250_000, '<a b="' * 180_000, "<!" * 500_000, "<!--" * 250_000, "<p>" * 300_000, "<li>" * 200_000, "<div>" * 100_000, "</p>" * 250_000, "<a class=\"ad" * 80_000):
+        H.main_text(page, [])
+    assert time.process_time() - began < 60
+
+
+def test_hosts_with_many_shapes(spark):
+    """Most of 3,000 pages have a shape of their own; template texts still go."""
+    def page(i):
+        body = "".join(f"<{t}>{i} {k}</{t}>" for k, t in enumerate(("h2", "p", "pre", "blockquote")[int(c)] for c in f"{i * 7919:b}".replace("0", "2")))
+        return f"<body><div>Home</div>{body}<center>Imprint</center></body>"
+
+    rows = [(i, f"http://h.org/{i}", page(i)) for i in range(3000)]
+    assert len({x for _, _, p in rows for x in ["\x1f".join(H.fold(H.stream(p)[0]))]}) > 700
+    found = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    clean = sum("Home" not in t and "Imprint" not in t for t in found.values())
+    assert clean >= 0.95 * len(found) and all(f"{i} 0" in found[i] for i in found)
