@@ -3,7 +3,9 @@
 Hosts are the nodes. Edges are links between hosts, weighted by their number, and a link from each
 host to its parent domain. Two personalised PageRanks run over them: trust starts at hosts with allowed pages and
 follows edges; distrust starts at hosts with blocked pages and follows edges backwards. A host's seed is
-the share of its pages that rules allow or block. A host whose distrust is above RATIO times its trust is blocked.
+the share of its pages that rules allow or block. Ranks are given in units of what a wholly allowed or blocked host gets by its own
+seed. A host is blocked if its distrust is FLOOR or more and above RATIO times its trust; so a small share of blocked pages
+alone blocks no host, and where both are equal it is allowed. After ROUNDS rounds at most DAMPING ** ROUNDS (2 %) of the rank is not yet settled.
 
 All on DataFrame functions. Null or bad URLs have empty host and path; they get no rule, and allow. Null html
 has no links. Repeated rows are judged each. Rules longer in characters win; of equal ones, block.
@@ -16,9 +18,9 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from .storage import materialize, scope, small
 
-DAMPING, ROUNDS, RATIO, MAX_RULES = 0.85, 12, 1.0, 10_000
+DAMPING, ROUNDS, RATIO, FLOOR, MAX_RULES = 0.85, 24, 1.0, 0.25, 10_000
 _LINK = r"(?i)href\s*+=\s*+[\"']?((?:[a-z][a-z0-9+.-]*+:)?//[^\"'\s>]++)"
 
 
@@ -79,13 +81,17 @@ def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = DAMPING, r
     return rank.groupBy("host").agg(F.sum(F.when(F.col("k") == 0, F.col("rank")).otherwise(0.0)).alias("trust"), F.sum(F.when(F.col("k") == 1, F.col("rank")).otherwise(0.0)).alias("distrust"))
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str]], *, ratio: float = RATIO) -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str]], *, ratio: float = RATIO, floor: float = FLOOR) -> DataFrame:
     """pages(page_id, url, html, ...) without html, with host, path, rule, verdict, trust and distrust."""
     ruled = match_rules(pages, rules)
     share = lambda kind: F.avg(F.when(F.col("ruling") == kind, 1.0).otherwise(0.0))
     hosts = materialize(ruled.groupBy("host").agg(share("allow").alias("allowed"), share("block").alias("blocked")), "hosts")
-    ranks = materialize(propagate(materialize(host_edges(ruled, hosts), "host-edges"), hosts.where("host <> ''")), "ranks")
-    kept = ruled.drop("html", "trust", "distrust", "verdict").join(ranks.withColumnRenamed("host", "__host"), F.col("host") == F.col("__host"), "left").drop("__host")
+    seeds = hosts.where("host <> ''")
+    total = seeds.agg(F.coalesce(F.sum("allowed"), F.lit(0.0)).alias("a"), F.coalesce(F.sum("blocked"), F.lit(0.0)).alias("b")).first()
+    with scope(pages.sparkSession):
+        ranks = propagate(materialize(host_edges(ruled, hosts), "host-edges"), seeds)
+        ranks = materialize(ranks.select("host", (F.col("trust") * (total.a / (1 - DAMPING))).alias("trust"), (F.col("distrust") * (total.b / (1 - DAMPING))).alias("distrust")), "ranks", keep=True)
+    kept = ruled.drop("html", "trust", "distrust", "verdict").join(small(ranks).withColumnRenamed("host", "__host"), F.col("host") == F.col("__host"), "left").drop("__host")
     kept = kept.withColumn("trust", F.coalesce("trust", F.lit(0.0))).withColumn("distrust", F.coalesce("distrust", F.lit(0.0)))
-    own = F.when(F.col("distrust") > ratio * F.col("trust"), F.lit("block")).otherwise(F.lit("allow"))
+    own = F.when((F.col("distrust") >= floor) & (F.col("distrust") > ratio * F.col("trust")), F.lit("block")).otherwise(F.lit("allow"))
     return kept.withColumn("verdict", F.coalesce("ruling", own)).drop("ruling")

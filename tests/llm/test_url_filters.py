@@ -63,3 +63,10 @@ def test_links_pass_distrust_back(spark):
     pages = [(1, "http://bad.net/es/1", ""), (2, "http://friend.org/1", '<a href="http://bad.net/es/1">x</a>'), (3, "http://clean.org/1", "<a href='//other.org/'>x</a>")]
     found = {r.host: r.verdict for r in U.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), RULES).collect()}
     assert found == {"bad.net": "block", "friend.org": "block", "clean.org": "allow"}
+
+
+def test_few_blocked_pages_block_no_host(spark):
+    pages = [(i, f"http://{h}.net/{'es/' if i < n else ''}{i}", "") for h, n in (("few", 1), ("many", 60)) for i in range(200)]
+    pages += [(500, "http://even.com/1", "<a href='http://bad.net/es/'>"), (501, "http://bad.net/es/", "")]
+    found = U.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), RULES).groupBy("host", "verdict").count().collect()
+    assert {(r.host, r.verdict): r["count"] for r in found} == {("few.net", "block"): 1, ("few.net", "allow"): 199, ("many.net", "block"): 200, ("even.com", "allow"): 1, ("bad.net", "block"): 1}
