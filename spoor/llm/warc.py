@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from .storage import materialize, small
 
 INDEX = "page_id long, archive string, offset long, length long, url string, digest string, record_type string"
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -77,7 +77,7 @@ def write(pages: DataFrame, folder: str, *, min_payload: int = 0, level: int = 1
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("sha", F.sha1("payload"))
     first = rows.where(F.octet_length("payload") >= min_payload).groupBy("sha").agg(F.max("page_id").alias("response_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    rows = rows.join(materialize(first, "responses"), "sha", "left")
+    rows = rows.join(small(materialize(first, "responses")), "sha", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target, path = _open(folder)
@@ -102,10 +102,12 @@ def write(pages: DataFrame, folder: str, *, min_payload: int = 0, level: int = 1
     return materialize(rows.select("page_id", "url", "payload", "sha", "response_id").mapInArrow(run, INDEX), "cdx")
 
 
-def read(selected: DataFrame, *, gap: int = 64 << 10, block: int = 4 << 20, payloads: bool = True) -> DataFrame:
+def read(selected: DataFrame, *, gap: int = 64 << 10, block: int = 4 << 20, task_bytes: int = 16 << 20, payloads: bool = True) -> DataFrame:
     """Records (RECORD) of the selected index rows. Ranges of an archive that lie at most gap bytes apart are read
-    at once, up to about block bytes."""
-    order = selected.select("archive", "offset", "length").repartitionByRange("archive", "offset").sortWithinPartitions("archive", "offset")
+    at once, up to about block bytes. Tasks get stretches of task_bytes of an archive, by the records' bytes, not the index's."""
+    total = selected.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("n")).first().n
+    stretch = F.floor(F.col("offset") / task_bytes)
+    order = selected.select("archive", "offset", "length").repartition(max(1, -(-total // task_bytes)), "archive", stretch).sortWithinPartitions("archive", "offset")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         handles: dict = {}
