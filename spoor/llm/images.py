@@ -24,10 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .linking import connected_components, link_members
-from .storage import materialize
+from .storage import materialize, scope, small
 
 POINTS, AREA, SCALES, RADIUS, MAX_BITS, MIN_VOTES = 48, 192, 5, 12, 40, 6
-KEY_BITS, NEXT_BITS = 40, 20
+KEY_BITS, NEXT_BITS = 44, 20
 SHIFT_BIN, TURN_BIN, SCALE_BIN = 12.0, 0.5, 0.5  # pixels, radians, octaves
 SIDE, GRID = 96, 20
 IMAGE = "image_id long, source_id long, edit string, width int, height int, pixels binary"
@@ -155,7 +155,7 @@ def _descriptors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words.append(d)
         p = np.concatenate(points) if points else np.zeros((0, 4))
         d = np.concatenate(words) if words else np.zeros((0, 4), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in nodes], pa.int64()), pa.array([i for _, i in nodes], pa.int32()), *(pa.array(p[:, i]) for i in range(4)), *(pa.array(d[:, i]) for i in range(4))], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in nodes], pa.int64()), pa.array([i for _, i in nodes], pa.int32()), *(pa.array(p[:, i].astype(np.float32)) for i in range(4)), *(pa.array(d[:, i]) for i in range(4))], names=names)
 
 
 def copies(images: DataFrame) -> DataFrame:
@@ -163,19 +163,34 @@ def copies(images: DataFrame) -> DataFrame:
     rows = images.select(F.col("image_id").cast("long").alias("image_id"), F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height"), "pixels")
     full = F.octet_length("pixels") > 0
     rows = rows.withColumn("node", F.when(full, F.xxhash64("width", "height", F.md5("pixels"))))
-    seen = materialize(rows.select("image_id", "node"), "images")
-    sets = materialize(seen.where("node is not null").groupBy("node").agg(F.min("image_id").alias("least")), "image-classes")
-    one = rows.where("node is not null").dropDuplicates(["node"]).select("node", "width", "height", "pixels")
-    desc = materialize(one.mapInArrow(_descriptors, "node long, p int, x double, y double, s double, t double, d0 long, d1 long, d2 long, d3 long"), "descriptors")
+    seen = materialize(rows.select("image_id", "node"), "images", keep=True)
+    with scope(images.sparkSession):
+        classes = materialize(_classes(rows, seen), "image-class", keep=True)
+    return seen.join(small(classes), "node", "left").select("image_id", F.when(F.col("node").isNull(), F.col("image_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_points", F.lit(0)).cast("long").alias("n_points"))
+
+
+def _classes(rows: DataFrame, seen: DataFrame) -> DataFrame:
+    """(node, class_id, n_points) of the different images."""
+    each = seen.where("node is not null").groupBy("node", "image_id").agg(F.count(F.lit(1)).alias("rows"))
+    sets = each.groupBy("node").agg(F.min(F.struct(F.col("image_id").isNull().alias("no_id"), "image_id", "rows")).alias("x")).select("node", F.col("x.image_id").alias("least"), F.col("x.rows").alias("rows"))
+    sets = materialize(sets, "image-classes")
+    # one row of each different image is described; its pixels are not shuffled where the names of those rows are small
+    named = small(sets).select(F.col("node").alias("own"), "least")
+    one = rows.where("node is not null").join(named, rows.image_id.eqNullSafe(named.least) & (rows.node == named.own)).select("node", "width", "height", "pixels")
+    if sets.where("rows > 1").limit(1).count():
+        one = one.dropDuplicates(["node"])
+    desc = materialize(one.mapInArrow(_descriptors, "node long, p int, x float, y float, s float, t float, d0 long, d1 long, d2 long, d3 long"), "descriptors")
     # a cell's key is the first bits of a quarter; the next quarter goes with it, to tell chance meetings early
     cell = F.explode(F.array(*(F.struct(F.xxhash64(F.lit(i), F.shiftrightunsigned(f"d{i}", 64 - KEY_BITS)).alias("key"), F.col(f"d{(i + 1) % 4}").alias("n")) for i in range(4))))
-    members = materialize(desc.select("node", cell.alias("c")).select("c.key", "node", "c.n").distinct(), "cells")
+    members = desc.select("node", cell.alias("c")).select("c.key", "node", "c.n")
 
     def may_link(x: str, y: str) -> F.Column:
         return F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= NEXT_BITS
 
     def verify(pairs: DataFrame) -> DataFrame:
-        a, b = (desc.select(*(F.col(c).alias(f"{c}_{x}") for c in desc.columns)) for x in "ab")
+        ends = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "pair-nodes")
+        own = desc.join(small(ends), "node", "left_semi")
+        a, b = (own.select(*(F.col(c).alias(f"{c}_{x}") for c in desc.columns)) for x in "ab")
         near = pairs.join(a, pairs.a == a.node_a).join(b, pairs.b == b.node_b)
         bits = sum((F.bit_count(F.col(f"d{i}_a").bitwiseXOR(F.col(f"d{i}_b"))) for i in range(1, 4)), F.bit_count(F.col("d0_a").bitwiseXOR(F.col("d0_b"))))
         near = near.where(bits <= MAX_BITS)
@@ -194,14 +209,13 @@ def copies(images: DataFrame) -> DataFrame:
         return votes.where((F.col("va") >= MIN_VOTES) & (F.col("vb") >= MIN_VOTES)).select("a", "b").distinct()
 
     def rest(left: DataFrame, links: DataFrame) -> DataFrame:
-        cells = members.join(left.select("node", "comp").distinct(), "node")
+        cells = members.join(small(materialize(left.select("node", "comp").distinct(), "unsettled-nodes")), "node")
         x, y = cells.select("key", "n", F.col("node").alias("a"), F.col("comp").alias("ca")), cells.select("key", F.col("n").alias("m"), F.col("node").alias("b"), F.col("comp").alias("cb"))
         return x.join(y, "key").where(may_link("n", "m")).where("a < b and ca <> cb").select("a", "b").distinct().join(links, ["a", "b"], "left_anti")
 
-    links = materialize(link_members(members, may_link, verify, rest), "image-links")
+    links = materialize(link_members(members, may_link, verify, rest, write=False), "image-links")
     comps = connected_components(links)
-    placed = sets.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    placed = sets.join(small(comps), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = placed.groupBy("comp").agg(F.min("least").alias("class_id"))
     points = desc.groupBy("node").agg(F.count(F.lit(1)).alias("n_points"))
-    classes = materialize(placed.join(least, "comp").join(points, "node", "left").select("node", "class_id", "n_points"), "image-class")
-    return seen.join(classes, "node", "left").select("image_id", F.when(F.col("node").isNull(), F.col("image_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_points", F.lit(0)).cast("long").alias("n_points"))
+    return placed.join(least, "comp").join(points, "node", "left").select("node", "class_id", "n_points")

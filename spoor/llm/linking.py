@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from .storage import materialize, small
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -28,27 +28,28 @@ def connected_components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def link_members(members: DataFrame, may_link: Callable[[str, str], object], verify: Callable[[DataFrame], DataFrame], rest: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+def link_members(members: DataFrame, may_link: Callable[[str, str], object], verify: Callable[[DataFrame], DataFrame], rest: Callable[[DataFrame, DataFrame], DataFrame], *, write: bool = True) -> DataFrame:
     """Verified links (a, b) among the nodes that share a key.
 
     members has (key, node, n). A key's leader is its least node. First each node is compared with
     one leader, the least of its keys', then with those leaders that are not yet in its component. Keys whose nodes are then all in one component are settled: no further link
     can change a class. rest(nodes of the other keys with comp, labels) gives the remaining
     candidate pairs (a, b), which are verified too. may_link(n, n) is an
-    expression that no linked pair fails."""
-    members = materialize(members, "members")
+    expression that no linked pair fails; n is what it looks at. Without write, members is read again from where it comes from
+instead of being written."""
+    members = materialize(members, "members") if write else members
     leaders = materialize(members.groupBy("key").agg(F.min(F.struct("node", "n")).alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n")), "leaders")
-    star = members.join(leaders, "key").where("node <> lead").where(may_link("n", "lead_n")).select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+    star = members.join(small(leaders), "key").where("node <> lead").where(may_link("n", "lead_n")).select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
     star = materialize(star, "star")
     links = materialize(verify(materialize(star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs")), "links")
     labels = connected_components(links)
-    a_of, b_of = (labels.select(F.col("node").alias(x), F.col("comp").alias(f"comp_{x}")) for x in "ab")
-    apart = star.join(a_of, "a", "left").join(b_of, "b", "left").where("coalesce(comp_a, a) <> coalesce(comp_b, b)").select("a", "b").join(links, ["a", "b"], "left_anti")
+    a_of, b_of = (small(labels).select(F.col("node").alias(x), F.col("comp").alias(f"comp_{x}")) for x in "ab")
+    apart = star.join(a_of, "a", "left").join(b_of, "b", "left").where("coalesce(comp_a, a) <> coalesce(comp_b, b)").select("a", "b").join(small(links), ["a", "b"], "left_anti")
     links = links.union(materialize(verify(materialize(apart, "pairs")), "links"))
     labels = connected_components(links)
     own = F.coalesce("comp", "node")
-    open_keys = members.join(leaders.select("key"), "key").join(labels, "node", "left").groupBy("key").agg(F.min(own).alias("lo"), F.max(own).alias("hi")).where("lo <> hi").select("key")
-    left = members.join(materialize(open_keys, "open"), "key").select("node", "n").distinct().join(labels, "node", "left").select("node", "n", own.alias("comp"))
+    open_keys = members.join(small(leaders).select("key"), "key").join(small(labels), "node", "left").groupBy("key").agg(F.min(own).alias("lo"), F.max(own).alias("hi")).where("lo <> hi").select("key")
+    left = members.join(small(materialize(open_keys, "open")), "key").select("node", "n").distinct().join(small(labels), "node", "left").select("node", "n", own.alias("comp"))
     left = materialize(left, "unsettled")
     if not left.limit(1).count():
         return links
