@@ -101,8 +101,18 @@ def distance_to_score(distance: Column) -> Column:
 
 
 def format_duration(seconds: Column) -> Column:
-    s = F.floor(seconds)
-    return F.when(s >= 60, F.concat(F.floor(s / 60).cast("string"), F.lit("m "), (s % 60).cast("string"), F.lit("s"))).otherwise(F.concat(s.cast("string"), F.lit("s")))
+    minutes, rest = F.floor(seconds / 60), F.bround(seconds % 60, 0).cast("long")
+    long = F.concat(minutes.cast("string"), F.lit("m "), rest.cast("string"), F.lit("s"))
+    return F.when(seconds <= 0, F.lit("N/A")).when(minutes > 0, long).when(seconds > 0, F.format_string("%.1fs", F.bround(seconds.cast("double"), 1)))
+
+
+def format_size(size: Column) -> Column:
+    """Bytes as text in the largest unit, up to TB, of which there is at least one."""
+    value = size.cast("double")
+    out = F.format_string("%.2f TB", value / (1 << 40))
+    for power, unit in ((3, "GB"), (2, "MB"), (1, "KB")):
+        out = F.when(value < 1 << 10 * (power + 1), F.format_string(f"%.2f {unit}", value / (1 << 10 * power))).otherwise(out)
+    return F.when(value < 1024, F.concat(size.cast("long").cast("string"), F.lit(" B"))).when(value >= 1024, out)
 
 
 def error_summary(error: Column, length: int = 160) -> Column:

@@ -78,13 +78,16 @@ def classify_incremental(evidence: DataFrame) -> DataFrame:
     return classify_evidence(evidence).where("risk_level is null").withColumn("rule_version", F.lit(RULE_VERSION))
 
 
-def corroboration_refs(classified: DataFrame, evidence: DataFrame, max_per_family: int | None = None) -> DataFrame:
-    """(id, family, ref_id): rows of other families that share an entity with a corroborated medium or high row."""
+def corroboration_refs(classified: DataFrame, evidence: DataFrame, max_per_family: int) -> DataFrame:
+    """(id, family, ref_id): for each corroborated medium or high row, the max_per_family rows of least id of every other family
+    that shares an entity with it.
+
+    An entity's rows are cut to that many a family before the join, which loses none of a row's: the least of the union are
+    among the least of each part. So a busy entity meets a row with families times max_per_family rows at most."""
     edges = entity_edges(evidence)
-    wanted = classified.where("corroborated and severity in ('medium', 'high')").select("id")
-    mine = edges.join(wanted, "id")
-    other = edges.select("investigation_id", "kind", "value", F.col("id").alias("ref_id"), F.col("family").alias("ref_family"))
-    refs = mine.join(other, ["investigation_id", "kind", "value"]).where("ref_family <> family").select("id", F.col("ref_family").alias("family"), "ref_id").distinct()
-    if max_per_family is None:
-        return refs
+    key = ["investigation_id", "kind", "value"]
+    least = Window.partitionBy(*key, "family").orderBy("id")
+    other = edges.withColumn("n", F.row_number().over(least)).where(F.col("n") <= max_per_family).select(*key, F.col("id").alias("ref_id"), F.col("family").alias("ref_family"))
+    mine = edges.join(classified.where("corroborated and severity in ('medium', 'high')").select("id"), "id", "left_semi")
+    refs = mine.join(other, key).where("ref_family <> family").select("id", F.col("ref_family").alias("family"), "ref_id").distinct()
     return refs.withColumn("n", F.row_number().over(Window.partitionBy("id", "family").orderBy("ref_id"))).where(F.col("n") <= max_per_family).drop("n")

@@ -76,10 +76,32 @@ def corpus_overview(scoped: DataFrame) -> DataFrame:
     return rows.groupBy("investigation_id", "plugin_name").agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.col("risk_level") == r).alias(r) for r in RISKS))
 
 
-def malfind_breakdown(df: DataFrame, attributes: Column, region: Column) -> DataFrame:
-    """Rows and distinct processes of private and mapped injected regions."""
-    rows = df.where("artifact_type = 'malfind'").withColumn("region", region).withColumn("p", F.struct(F.try_element_at(attributes, F.lit("process")), F.try_element_at(attributes, F.lit("pid"))))
-    return rows.groupBy("investigation_id", "region").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("p").alias("processes"))
+def _malfind_high(rows: DataFrame, executions: DataFrame, attributes: Column) -> DataFrame:
+    """High-risk rows of each investigation's last completed malfind run; rows whose value is no object are left out."""
+    run = executions.where("execution_status = 'completed' and plugin_name like '%malfind'").groupBy("investigation_id").agg(F.max("id").alias("execution_id"))
+    value = lambda k: F.try_element_at(attributes, F.lit(k))
+    name = F.when(F.coalesce(value("process"), F.lit("")) == "", "unknown").otherwise(value("process"))
+    high = rows.where("artifact_type = 'malfind' and risk_level = 'high'").where(attributes.isNotNull())
+    high = high.select("investigation_id", "execution_id", name.alias("process"), value("pid").alias("pid"), F.coalesce(value("privatememory") == "1", F.lit(False)).alias("is_private"))
+    return high.join(run, ["investigation_id", "execution_id"], "left_semi")
+
+
+def malfind_breakdown(rows: DataFrame, executions: DataFrame, attributes: Column) -> DataFrame:
+    """(investigation_id, total, private, mapped, processes) of the high-risk injected regions."""
+    high = _malfind_high(rows, executions, attributes)
+    private = F.count_if("is_private")
+    return high.groupBy("investigation_id").agg(F.count(F.lit(1)).alias("total"), private.alias("private"), (F.count(F.lit(1)) - private).alias("mapped"), F.count_distinct(F.struct("process", "pid")).alias("processes"))
+
+
+def malfind_top(rows: DataFrame, executions: DataFrame, attributes: Column, k: int = 8) -> DataFrame:
+    """(investigation_id, list, rank, process, pid, n): the k processes with most regions, and those with most private ones.
+    Ties go by name, then process id."""
+    high = _malfind_high(rows, executions, attributes)
+    counts = high.groupBy("investigation_id", "process", "pid").agg(F.count(F.lit(1)).alias("all"), F.count_if("is_private").alias("private"))
+    lists = F.explode(F.array(*(F.struct(F.lit(x).alias("list"), F.col(x).alias("n")) for x in ("all", "private"))))
+    counts = counts.select("investigation_id", "process", "pid", lists.alias("x")).select("investigation_id", "x.list", "process", "pid", "x.n").where("n > 0")
+    order = Window.partitionBy("investigation_id", "list").orderBy(F.desc("n"), "process", "pid")
+    return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def daily_trend(dumps: DataFrame, last_day: str, days: int = 7) -> DataFrame:

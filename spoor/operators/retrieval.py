@@ -189,3 +189,14 @@ def delete_where(df: DataFrame, condition: Column) -> DataFrame:
 
 def delete_index_state(state: DataFrame, ids: DataFrame) -> DataFrame:
     return state.join(ids.select("evidence_id"), "evidence_id", "left_anti")
+
+
+def distinct_plugins(evidence: DataFrame, executions: DataFrame) -> DataFrame:
+    """(investigation_id, plugin_name) of the executions that have rows."""
+    return executions.join(evidence.select(F.col("execution_id").alias("id")).distinct(), "id", "left_semi").select("investigation_id", "plugin_name").distinct()
+
+
+def distinct_types(evidence: DataFrame, executions: DataFrame) -> DataFrame:
+    """(investigation_id, artifact_type) of the rows of known executions."""
+    pairs = evidence.groupBy("execution_id", "artifact_type").agg(F.count(F.lit(1)).alias("n"))
+    return pairs.join(executions.select(F.col("id").alias("execution_id"), "investigation_id"), "execution_id").select("investigation_id", "artifact_type").distinct()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spoor.functions import attributes as A
-from spoor.operators import classify, reports
+from spoor.operators import classify, reports, retrieval
 
 from .fixtures import EVIDENCE_SQL, EXECUTIONS_SQL, evidence, executions, view
 
@@ -125,10 +125,33 @@ def corpus_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.corpus_overview(reports.scope(evidence(spark, sf_dir), executions(spark, sf_dir)))
 
 
-@query(f"WITH {_AT} SELECT investigation_id, CASE priv WHEN '1' THEN 'PRIVATE-COMMITTED' ELSE 'MAPPED' END AS region, count(*) AS n, count(DISTINCT process || ' ' || pid) AS processes FROM att WHERE artifact_type = 'malfind' GROUP BY 1, 2")
+_MALFIND = f"WITH {_AT}, {_EX}, run AS (SELECT investigation_id, max(id) AS id FROM ex WHERE execution_status = 'completed' AND plugin_name = 'windows.malfind' GROUP BY 1), h AS (SELECT a.investigation_id, coalesce(process, 'unknown') AS process, a.pid, coalesce(priv = '1', false) AS own FROM att a JOIN run r ON r.id = a.execution_id WHERE artifact_type = 'malfind' AND risk_level = 'high' AND j IS NOT NULL) "
+
+
+@query(_MALFIND + "SELECT investigation_id, count(*) AS total, count(*) FILTER (own) AS private, count(*) FILTER (NOT own) AS mapped, count(DISTINCT (process, pid)) AS processes FROM h GROUP BY 1")
 def malfind_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = classify.parsed(evidence(spark, sf_dir))
-    return reports.malfind_breakdown(rows, F.col("attributes"), A.region_kind(F.col("artifact_type"), F.col("attributes")))
+    return reports.malfind_breakdown(classify.parsed(evidence(spark, sf_dir)), executions(spark, sf_dir), F.col("attributes"))
+
+
+@query(_MALFIND + ", c AS (SELECT investigation_id, process, pid, 'all' AS list, count(*) AS n FROM h GROUP BY ALL UNION ALL SELECT investigation_id, process, pid, 'private', count(*) FILTER (own) FROM h GROUP BY ALL), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY investigation_id, list ORDER BY n DESC, process, pid) AS INT) AS rank FROM c WHERE n > 0) SELECT * FROM r WHERE rank <= 8")
+def malfind_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.malfind_top(classify.parsed(evidence(spark, sf_dir)), executions(spark, sf_dir), F.col("attributes"))
+
+
+@query(_CLASSIFY[: _CLASSIFY.rindex("SELECT id, CASE WHEN j IS NULL")] + ", refs AS (SELECT DISTINCT p.id, b.fam AS family, b.id AS ref_id FROM pts p JOIN ents a ON a.id = p.id JOIN ents b ON b.investigation_id = a.investigation_id AND b.kind = a.kind AND b.value = a.value AND b.fam <> a.fam WHERE p.corroborated AND (p.strong OR p.score >= 3)), n AS (SELECT *, row_number() OVER (PARTITION BY id, family ORDER BY ref_id) AS n FROM refs) SELECT id, family, ref_id FROM n WHERE n <= 3")
+def corroboration_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = evidence(spark, sf_dir)
+    return classify.corroboration_refs(classify.classify_evidence(rows), rows, 3)
+
+
+@query(f"WITH {_EV}, {_EX} SELECT DISTINCT ex.investigation_id, plugin_name FROM ex JOIN ev ON ev.execution_id = ex.id")
+def distinct_plugins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.distinct_plugins(evidence(spark, sf_dir), executions(spark, sf_dir))
+
+
+@query(f"WITH {_EV}, {_EX} SELECT DISTINCT ex.investigation_id, artifact_type FROM ex JOIN ev ON ev.execution_id = ex.id")
+def distinct_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.distinct_types(evidence(spark, sf_dir), executions(spark, sf_dir))
 
 
 @query("WITH d AS (SELECT CAST(unnest(generate_series(DATE '2024-01-04', DATE '2024-01-10', INTERVAL 1 DAY)) AS DATE) AS day) SELECT d.day, count(e.event_id) AS n FROM d LEFT JOIN events e ON CAST(e.ts AS DATE) = d.day GROUP BY 1")
@@ -168,7 +191,7 @@ def find_duplicate_dumps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_AT}, x AS (SELECT DISTINCT rip AS address FROM att WHERE rip IS NOT NULL) SELECT address, CASE WHEN starts_with(address, '10.1.') OR starts_with(address, '10.0.') THEN 'low' WHEN address = '127.0.0.1' THEN 'loop' ELSE 'ten' END AS name FROM x WHERE starts_with(address, '10.') OR address = '127.0.0.1'")
 def match_networks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = classify.parsed(evidence(spark, sf_dir)).select(A.first_key(F.col("attributes"), "remote_ip").alias("address"))
+    rows = classify.parsed(evidence(spark, sf_dir).where("artifact_type = 'netscan'")).select(A.first_key(F.col("attributes"), "remote_ip").alias("address"))
     nets = spark.createDataFrame([(0, "low", "10.0.0.0/15"), (1, "ten", "10.9.9.9/8"), (2, "loop", "127.0.0.1"), (3, "bad", "300.1.1.1/8")], "position int, name string, cidr string")
     return reports.match_networks(rows, nets).select("address", "name")
 

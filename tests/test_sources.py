@@ -16,3 +16,23 @@ def test_files_and_stream(spark, tmp_path):
         stream_ingest(spark, str(folder), str(tmp_path / "sink"), str(tmp_path / "mark")).awaitTermination()
         found = spark.read.parquet(str(tmp_path / "sink")).collect()
         assert len(found) == 2 and {r.plugin for r in found} == {"windows.pslist"}
+
+
+def test_indicator_sets(spark, tmp_path):
+    from spoor.sources.evidence import load_indicator_sets
+
+    given = {"a.json": '{"name": "A", "source": "desk", "networks": ["10.0.0.0/8", " 1.2.3.4 ", "", null]}', "b.json": '{"networks": ["2001:db8::/32"]}', "c.json": "{broken", "d.json": "[1]", "e.json": '{"name": "E", "networks": []}', "f.txt": '{"networks": ["9.9.9.9"]}'}
+    for name, text in given.items():
+        (tmp_path / name).write_text(text)
+    found = sorted(tuple(r) for r in load_indicator_sets(spark, str(tmp_path)).collect())
+    assert found == [("a.json", "A", "desk", "1.2.3.4"), ("a.json", "A", "desk", "10.0.0.0/8"), ("b.json", "b", "b.json", "2001:db8::/32")]
+
+
+def test_formats(spark):
+    from pyspark.sql import functions as F
+
+    from spoor.functions import attributes as A
+
+    rows = spark.createDataFrame([(0.0, 0), (5.25, 1023), (65.0, 1024), (3599.4, 5 << 20), (None, None), (60.0, 3 << 40)], "s double, b long")
+    found = [tuple(r) for r in rows.select(A.format_duration(F.col("s")), A.format_size(F.col("b"))).collect()]
+    assert found == [("N/A", "0 B"), ("5.2s", "1023 B"), ("1m 5s", "1.00 KB"), ("59m 59s", "5.00 MB"), (None, None), ("1m 0s", "3.00 TB")]
