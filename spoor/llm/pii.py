@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from .storage import materialize, scope, small
 
 GENERALISE, REMOVE, SUPPORT = 0.5, 0.9, 2
 KINDS = ("email", "ip", "card", "phone")
@@ -100,23 +100,24 @@ def disclosing_terms(docs: DataFrame) -> DataFrame:
     entities = materialize(entities, "entities")
     spread = entities.groupBy("entity").agg(F.count(F.lit(1)).alias("texts"), F.sum("rows").alias("most")).where(F.col("texts") >= SUPPORT)
     entities = materialize(entities.join(spread.select("entity", "most"), "entity"), "recurring-entities")
-    limit = entities.groupBy("text_hash").agg(F.max("most").alias("most"))
+    limit = materialize(entities.groupBy("text_hash").agg(F.max("most").alias("most")), "entity-limits")
     often = materialize(rows.select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("docs")), "term-docs")
     reachable = F.col("docs") * GENERALISE <= F.col("most")
-    free = rows.join(limit, "text_hash").select("text_hash", "most", F.explode(_free_terms(F.col("text"))).alias("term")).join(often.where(F.col("docs") >= SUPPORT), "term").where(reachable)
+    free = rows.join(small(limit), "text_hash").select("text_hash", "most", F.explode(_free_terms(F.col("text"))).alias("term")).join(often.where(F.col("docs") >= SUPPORT), "term").where(reachable)
     free = materialize(free.select("text_hash", "term", "docs").distinct(), "free-terms")
     pairs = free.join(entities, "text_hash").where(reachable).groupBy("entity", "term").agg(F.sum("rows").alias("together"), F.count(F.lit(1)).alias("texts"), F.first("docs").alias("docs"))
     pairs = pairs.where(F.col("texts") >= SUPPORT).withColumn("disclosure", F.col("together") / F.col("docs")).where(F.col("disclosure") >= GENERALISE)
     told = materialize(pairs.groupBy("term").agg(F.max("disclosure").alias("disclosure")), "told")
     words = rows.select("doc_id", "text_hash", F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
-    found = words.join(told, "term").distinct().groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("term", "disclosure"))).alias("terms"))
-    return materialize(found, "doc-terms")
+    found = words.join(small(told), "term").distinct().groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("term", "disclosure"))).alias("terms"))
+    return materialize(found, "doc-terms", keep=True)
 
 
 def annotate(docs: DataFrame) -> DataFrame:
     """docs with spans (array of kind, start, end, value, by kind then start; kind term after the base kinds) and
     sanitized, the text with spans replaced."""
-    terms = disclosing_terms(docs).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("terms").alias("__terms"))
+    with scope(docs.sparkSession):
+        terms = small(disclosing_terms(docs)).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("terms").alias("__terms"))
     rows = docs.drop("spans", "sanitized").withColumn("__text", F.coalesce("text", F.lit("")))
     rows = rows.withColumn("__h", F.xxhash64("__text"))
     rows = rows.join(terms, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__hash")), "left")
