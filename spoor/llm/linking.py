@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialize, small
+from .storage import BROADCAST_BYTES, materialize, small
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -36,9 +36,11 @@ def link_members(members: DataFrame, may_link: Callable[[str, str], object], ver
     can change a class. rest(nodes of the other keys with comp, labels) gives the remaining
     candidate pairs (a, b), which are verified too. may_link(n, n) is an
     expression that no linked pair fails; n is what it looks at. Without write, members is read again from where it comes from
-instead of being written."""
+once, and only those that share a key are written."""
     members = materialize(members, "members") if write else members
     leaders = materialize(members.groupBy("key").agg(F.min(F.struct("node", "n")).alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n")), "leaders")
+    if not write:  # from here on only what shares a key is read
+        members = materialize(members.join(small(leaders.select("key"), 2 * BROADCAST_BYTES), "key", "left_semi"), "shared-members")
     star = members.join(small(leaders), "key").where("node <> lead").where(may_link("n", "lead_n")).select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
     star = materialize(star, "star")
     links = materialize(verify(materialize(star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs")), "links")
