@@ -3,7 +3,8 @@
 Corners are found at scales a quarter of an octave apart (Harris response, local maxima; an image's strongest, one for AREA pixels and
 POINTS at least), turned to the
 direction of their patch's centre of mass, and described by 256 binary tests of smoothed pixels. Descriptors meet in a
-Hamming table: images are candidates where descriptors have equal first KEY_BITS of a quarter and at most NEXT_BITS different ones in the next quarter. A candidate pair is confirmed by geometric
+Hamming table: images are candidates where descriptors have equal first KEY_BITS of a quarter and at most MAX_BITS different ones in the other three. Patches are wide (RADIUS), as narrow
+ones of unlike images are often alike, which makes chance meetings grow with the square of the images. A candidate pair is confirmed by geometric
 consensus: matches within MAX_BITS vote for one similarity transform (turn, scale, shift) in overlapping bins, and at
 least MIN_VOTES different points must agree. Images of equal bytes are one class before any search; large table cells
 are resolved by linking.link_members, without a cap.
@@ -19,6 +20,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,8 +28,8 @@ from pyspark.sql import functions as F
 from .linking import connected_components, link_members
 from .storage import materialize, scope, small
 
-POINTS, AREA, SCALES, RADIUS, MAX_BITS, MIN_VOTES = 48, 192, 5, 12, 40, 6
-KEY_BITS, NEXT_BITS = 44, 20
+POINTS, AREA, SCALES, RADIUS, MAX_BITS, MIN_VOTES = 48, 192, 5, 19, 40, 6
+KEY_BITS = 32
 SHIFT_BIN, TURN_BIN, SCALE_BIN = 12.0, 0.5, 0.5  # pixels, radians, octaves
 SIDE, GRID = 96, 20
 IMAGE = "image_id long, source_id long, edit string, width int, height int, pixels binary"
@@ -158,6 +160,19 @@ def _descriptors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in nodes], pa.int64()), pa.array([i for _, i in nodes], pa.int32()), *(pa.array(p[:, i].astype(np.float32)) for i in range(4)), *(pa.array(d[:, i]) for i in range(4))], names=names)
 
 
+def _agreed(matches: pd.DataFrame) -> pd.DataFrame:
+    """The pair (a, b) of these matches if MIN_VOTES points of each image vote for one bin of a similarity transform; bins overlap by half."""
+    turns = int(round(2 * np.pi / TURN_BIN))
+    values = np.stack([matches.turn * turns / (2 * np.pi), matches.octave / SCALE_BIN, matches.dx / SHIFT_BIN, matches.dy / SHIFT_BIN], 1)
+    halves = np.array([[i >> j & 1 for j in range(4)] for i in range(16)]) / 2
+    bins = np.floor(values[None] + halves[:, None]).astype(np.int64)
+    bins[..., 0] %= turns
+    shift = np.broadcast_to(np.arange(16)[:, None, None], (*bins.shape[:2], 1))
+    _, code = np.unique(np.concatenate([shift, bins], 2).reshape(-1, 5), axis=0, return_inverse=True)
+    votes = [np.bincount(np.unique(np.stack([code.ravel(), np.tile(matches[p], 16)], 1), axis=0)[:, 0]) for p in ("p_a", "p_b")]
+    return matches[["a", "b"]].head(int((np.minimum(*votes) >= MIN_VOTES).any()))
+
+
 def copies(images: DataFrame) -> DataFrame:
     """(image_id, class_id, n_points) of every image: class_id is the least image_id of its component."""
     rows = images.select(F.col("image_id").cast("long").alias("image_id"), F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height"), "pixels")
@@ -180,12 +195,13 @@ def _classes(rows: DataFrame, seen: DataFrame) -> DataFrame:
     if sets.where("rows > 1").limit(1).count():
         one = one.dropDuplicates(["node"])
     desc = materialize(one.mapInArrow(_descriptors, "node long, p int, x float, y float, s float, t float, d0 long, d1 long, d2 long, d3 long"), "descriptors")
-    # a cell's key is the first bits of a quarter; the next quarter goes with it, to tell chance meetings early
-    cell = F.explode(F.array(*(F.struct(F.xxhash64(F.lit(i), F.shiftrightunsigned(f"d{i}", 64 - KEY_BITS)).alias("key"), F.col(f"d{(i + 1) % 4}").alias("n")) for i in range(4))))
+    # a cell's key is its quarter's number and first bits; the other quarters go with it, to tell chance meetings early
+    others = lambda i: F.struct(*(F.col(f"d{(i + j) % 4}").alias(f"m{j}") for j in (1, 2, 3)))
+    cell = F.explode(F.array(*(F.struct((F.shiftrightunsigned(f"d{i}", 64 - KEY_BITS) * 4 + i).alias("key"), others(i).alias("n")) for i in range(4))))
     members = desc.select("node", cell.alias("c")).select("c.key", "node", "c.n")
 
     def may_link(x: str, y: str) -> F.Column:
-        return F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= NEXT_BITS
+        return sum((F.bit_count(F.col(f"{x}.m{j}").bitwiseXOR(F.col(f"{y}.m{j}"))) for j in (2, 3)), F.bit_count(F.col(f"{x}.m1").bitwiseXOR(F.col(f"{y}.m1")))) <= MAX_BITS
 
     def verify(pairs: DataFrame) -> DataFrame:
         ends = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "pair-nodes")
@@ -198,19 +214,11 @@ def _classes(rows: DataFrame, seen: DataFrame) -> DataFrame:
         turn = turn - 2 * np.pi * F.floor(turn / (2 * np.pi))  # 0 to a whole turn
         scale = F.col("s_b") / F.col("s_a")
         near = near.select("a", "b", "p_a", "p_b", turn.alias("turn"), F.log2(scale).alias("octave"), (F.col("x_b") - scale * (F.cos(turn) * F.col("x_a") - F.sin(turn) * F.col("y_a"))).alias("dx"), (F.col("y_b") - scale * (F.sin(turn) * F.col("x_a") + F.cos(turn) * F.col("y_a"))).alias("dy"))
-        turns = int(round(2 * np.pi / TURN_BIN))
-        halves = F.explode(F.array(*(F.struct(*(F.lit(x / 2).alias(n) for n, x in zip("tsxy", (i & 1, i >> 1 & 1, i >> 2 & 1, i >> 3 & 1)))) for i in range(16))))
-        bins = near.withColumn("h", halves).select(
-            "a", "b", "p_a", "p_b", "h",
-            F.pmod(F.floor(F.col("turn") * turns / (2 * np.pi) + F.col("h.t")), F.lit(turns)).alias("bt"), F.floor(F.col("octave") / SCALE_BIN + F.col("h.s")).alias("bs"),
-            F.floor(F.col("dx") / SHIFT_BIN + F.col("h.x")).alias("bx"), F.floor(F.col("dy") / SHIFT_BIN + F.col("h.y")).alias("by"),
-        )
-        votes = bins.groupBy("a", "b", "h", "bt", "bs", "bx", "by").agg(F.size(F.collect_set("p_a")).alias("va"), F.size(F.collect_set("p_b")).alias("vb"))  # at most POINTS values
-        return votes.where((F.col("va") >= MIN_VOTES) & (F.col("vb") >= MIN_VOTES)).select("a", "b").distinct()
+        # a pair's matches are at most the product of the two images' points
+        return near.groupBy("a", "b").applyInPandas(_agreed, "a long, b long")
 
     def rest(left: DataFrame, links: DataFrame) -> DataFrame:
-        cells = members.join(small(materialize(left.select("node", "comp").distinct(), "unsettled-nodes")), "node")
-        x, y = cells.select("key", "n", F.col("node").alias("a"), F.col("comp").alias("ca")), cells.select("key", F.col("n").alias("m"), F.col("node").alias("b"), F.col("comp").alias("cb"))
+        x, y = left.select("key", "n", F.col("node").alias("a"), F.col("comp").alias("ca")), left.select("key", F.col("n").alias("m"), F.col("node").alias("b"), F.col("comp").alias("cb"))
         return x.join(y, "key").where(may_link("n", "m")).where("a < b and ca <> cb").select("a", "b").distinct().join(links, ["a", "b"], "left_anti")
 
     links = materialize(link_members(members, may_link, verify, rest, write=False), "image-links")

@@ -35,12 +35,15 @@ def link_members(members: DataFrame, may_link: Callable[[str, str], object], ver
     one leader, the least of its keys', then with those leaders that are not yet in its component. Keys whose nodes are then all in one component are settled: no further link
     can change a class. rest(nodes of the other keys with comp, labels) gives the remaining
     candidate pairs (a, b), which are verified too. may_link(n, n) is an
-    expression that no linked pair fails; n is what it looks at. Without write, members is read again from where it comes from
-once, and only those that share a key are written."""
-    members = materialize(members, "members") if write else members
-    leaders = materialize(members.groupBy("key").agg(F.min(F.struct("node", "n")).alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n")), "leaders")
-    if not write:  # from here on only what shares a key is read
-        members = materialize(members.join(small(leaders.select("key"), 2 * BROADCAST_BYTES), "key", "left_semi"), "shared-members")
+    expression that no linked pair fails; n is what it looks at. Without write, members is read twice from where it comes from,
+only those that share a key are written, and rest gets the unsettled ones with their keys."""
+    if write:
+        members = materialize(members, "members")
+    else:  # only what shares a key is written, and only keys are shuffled to find it
+        shared = materialize(members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key"), "shared-keys")
+        members = materialize(members.join(small(shared, 2 * BROADCAST_BYTES), "key", "left_semi"), "shared-members")
+    leaders = members.groupBy("key").agg(F.min(F.struct("node", "n")).alias("lead"), F.max("node").alias("last")).where("lead.node <> last")
+    leaders = materialize(leaders.select("key", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n")), "leaders")
     star = members.join(small(leaders), "key").where("node <> lead").where(may_link("n", "lead_n")).select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
     star = materialize(star, "star")
     links = materialize(verify(materialize(star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs")), "links")
@@ -51,7 +54,8 @@ once, and only those that share a key are written."""
     labels = connected_components(links)
     own = F.coalesce("comp", "node")
     open_keys = members.join(small(leaders).select("key"), "key").join(small(labels), "node", "left").groupBy("key").agg(F.min(own).alias("lo"), F.max(own).alias("hi")).where("lo <> hi").select("key")
-    left = members.join(small(materialize(open_keys, "open")), "key").select("node", "n").distinct().join(small(labels), "node", "left").select("node", "n", own.alias("comp"))
+    names = ["node", "n"] if write else ["key", "node", "n"]
+    left = members.join(small(materialize(open_keys, "open")), "key").select(*names).distinct().join(small(labels), "node", "left").select(*names, own.alias("comp"))
     left = materialize(left, "unsettled")
     if not left.limit(1).count():
         return links
