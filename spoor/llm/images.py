@@ -90,9 +90,16 @@ def render(embeddings: DataFrame) -> DataFrame:
 
 
 def _box(a: np.ndarray, r: int) -> np.ndarray:
-    p = np.pad(a, r + 1, mode="edge")[:-1, :-1].cumsum(0).cumsum(1)
+    """Means of windows of r pixels each way; edge pixels are repeated outwards."""
+    y, x = (np.arange(-r - 1, size + r).clip(0, size - 1) for size in a.shape)
+    return _window_sums(a.take(y, 0).take(x, 1), r) / (2 * r + 1) ** 2
+
+
+def _window_sums(a: np.ndarray, r: int) -> np.ndarray:
+    """Of the last two axes, for windows that lie within, without the first row and column."""
     n = 2 * r + 1
-    return (p[n:, n:] - p[:-n, n:] - p[n:, :-n] + p[:-n, :-n]) / (n * n)
+    p = a.cumsum(-2).cumsum(-1)
+    return p[..., n:, n:] - p[..., :-n, n:] - p[..., n:, :-n] + p[..., :-n, :-n]
 
 
 def _sampled(a: np.ndarray, py: np.ndarray, px: np.ndarray) -> np.ndarray:
@@ -115,16 +122,19 @@ def describe(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if min(h, w) < 2 * RADIUS + 4:
             break
         s = _box(a if level == 0 else _resize(a, h, w), 1)
-        gy, gx = np.gradient(s)
-        xx, yy, xy = _box(gx * gx, 2), _box(gy * gy, 2), _box(gx * gy, 2)
-        r = xx * yy - xy * xy - 0.05 * (xx + yy) ** 2
-        best = np.maximum.reduce([np.roll(np.roll(r, i, 0), j, 1) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+        # the response where a whole patch fits and one pixel around it, from five rows more before and four after
         e = RADIUS + 1
-        inner = np.zeros_like(r, bool)
-        inner[e : h - e, e : w - e] = True
-        y, x = np.nonzero((r >= best) & inner & (r > 1e-3 * max(r.max(), 1e-9)))
+        near = s[e - 5 : h - e + 4, e - 5 : w - e + 4]
+        gy, gx = (near[2:, 1:-1] - near[:-2, 1:-1]) / 2, (near[1:-1, 2:] - near[1:-1, :-2]) / 2
+        xx, yy, xy = _window_sums(np.stack([gx * gx, gy * gy, gx * gy]), 2) / 25
+        r = xx * yy - xy * xy - 0.05 * (xx + yy) ** 2
+        rows = np.maximum(np.maximum(r[:-2], r[1:-1]), r[2:])
+        best = np.maximum(np.maximum(rows[:, :-2], rows[:, 1:-1]), rows[:, 2:])
+        r = r[1:-1, 1:-1]
+        y, x = np.nonzero((r >= best) & (r > 1e-3 * max(r.max(), 1e-9)))
+        strength, y, x = r[y, x], y + e, x + e
         levels.append((f, (a.shape[0] - 1) / (h - 1), (a.shape[1] - 1) / (w - 1), s))
-        corners.append(np.stack([r[y, x], np.full(len(y), level), y, x]))
+        corners.append(np.stack([strength, np.full(len(y), level), y, x]))
     if not corners:
         return np.zeros((0, 4)), np.zeros((0, 4), np.int64)
     found = np.concatenate(corners, 1)
