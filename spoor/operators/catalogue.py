@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from spoor.functions import attributes as A
 
+from . import networks
+
 #: Fixed value: the width from which on a process name may be cut off.
 TRUNCATED = 14
 #: From strongest to weakest.
@@ -100,11 +102,12 @@ def signature_ceiling(rules: DataFrame) -> DataFrame:
 
 
 def networks_in_text(questions: DataFrame) -> DataFrame:
-    """questions(question, ...) with a row for each IPv4 range, then each bare address, that the text names: (position, cidr)."""
+    """questions(question, ...) with a row for each range, then each bare IPv4 address, that the text names: (position, cidr). What is no range or address is left out."""
     address = r"\d{1,3}(?:\.\d{1,3}){3}"
-    ranges = F.regexp_extract_all("question", F.lit(rf"\b{address}/\d{{1,2}}\b"), F.lit(0))
-    bare = F.regexp_extract_all(F.regexp_replace("question", rf"\b{address}/\d{{1,2}}\b", " "), F.lit(rf"\b{address}\b"), F.lit(0))
-    return questions.select("*", F.posexplode(F.concat(ranges, bare)).alias("position", "cidr"))
+    span = rf"\b(?:{address}/\d{{1,2}}|[0-9a-fA-F:]{{2,}}:[0-9a-fA-F:]*/\d{{1,3}})\b"
+    ranges = F.regexp_extract_all("question", F.lit(span), F.lit(0))
+    bare = F.regexp_extract_all(F.regexp_replace("question", span, " "), F.lit(rf"\b{address}\b"), F.lit(0))
+    return questions.select("*", F.posexplode(F.filter(F.concat(ranges, bare), lambda c: networks.network(c).isNotNull())).alias("position", "cidr"))
 
 
 def summarize_network_scan(rows: DataFrame, matched: DataFrame) -> DataFrame:

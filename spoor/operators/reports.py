@@ -158,27 +158,6 @@ def find_duplicate_dumps(dumps: DataFrame) -> DataFrame:
     return dumps.groupBy("sha256_hash").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("first_id")).where("copies > 1")
 
 
-def ipv4_number(address: Column) -> Column:
-    """null for what is no dotted quad; a part with a leading zero isn't one."""
-    octet = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-    p = F.split(F.trim(address), r"\.")
-    n = sum((F.get(p, F.lit(i)).cast("long") * (1 << 8 * (3 - i)) for i in range(1, 4)), F.get(p, F.lit(0)).cast("long") * (1 << 24))
-    return F.when(F.trim(address).rlike(rf"^(?:{octet}\.){{3}}{octet}$"), n)
-
-
-def match_networks(addresses: DataFrame, networks: DataFrame) -> DataFrame:
-    """addresses(address) in networks(position, name, cidr), IPv4: an equi-join on the network's bits for each prefix length in use.
-    Gives the first network in list order of each address."""
-    at = F.coalesce(F.get(F.split("cidr", "/"), F.lit(1)), F.lit("32")).try_cast("int")
-    nets = networks.withColumn("bits", at).withColumn("number", ipv4_number(F.get(F.split("cidr", "/"), F.lit(0)))).where("bits between 0 and 32 and number is not null")
-    nets = nets.select("position", "name", "cidr", "bits", F.expr("shiftright(number, 32 - bits)").alias("head"))
-    lengths = nets.agg(F.collect_set("bits").alias("lengths"))  # at most 33
-    rows = addresses.select("address").distinct().withColumn("number", ipv4_number(F.col("address"))).where("number is not null")
-    keyed = rows.crossJoin(F.broadcast(lengths)).select("address", "number", F.explode("lengths").alias("bits")).withColumn("head", F.expr("shiftright(number, 32 - bits)"))
-    hit = keyed.join(nets, ["bits", "head"])
-    return hit.groupBy("address").agg(F.min_by("name", "position").alias("name"), F.min_by("cidr", "position").alias("cidr"))
-
-
 def index_delta(evidence: DataFrame, state: DataFrame) -> DataFrame:
     """(evidence_id, change): new, changed, unchanged or stale by content hash."""
     e, s = evidence.select(F.col("id").alias("evidence_id"), F.col("content_hash").alias("now")), state.select("evidence_id", F.col("content_hash").alias("then"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spoor.functions import attributes as A
-from spoor.operators import answers, catalogue, classify, dashboards, reports, retrieval
+from spoor.operators import answers, catalogue, classify, dashboards, networks, reports, retrieval
 
 from .fixtures import EMPTY_EXECUTIONS_SQL, empty_executions, evidence, executions, view
 from .queries import _AT, _EV, _EX, query
@@ -146,7 +146,44 @@ def summarize_network_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = F.col("attributes")
     rows = parsed(spark, sf_dir).where("artifact_type = 'netscan'").select("id", A.first_key(a, "remote_ip").alias("address"), A.first_key(a, "state").alias("state"))
     nets = spark.createDataFrame([(0, "ten", "10.0.0.0/8")], "position int, name string, cidr string")
-    return catalogue.summarize_network_scan(rows, reports.match_networks(rows, nets))
+    return catalogue.summarize_network_scan(rows, networks.match_networks(rows, nets))
+
+
+def _ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sockets of completed executions."""
+    done = executions(spark, sf_dir).where("execution_status = 'completed'").select(F.col("id").alias("execution_id"))
+    rows = classify.parsed(evidence(spark, sf_dir).where("artifact_type = 'netscan'").join(done, "execution_id", "left_semi"))
+    return networks.endpoints(rows, F.col("attributes"), remote="remote_ip", local="local_ip", remote_port="remote_port", local_port="local_port")
+
+
+_DONE = f"WITH {_AT}, {_EX}, net AS (SELECT a.* FROM att a JOIN ex ON ex.id = a.execution_id WHERE artifact_type = 'netscan' AND execution_status = 'completed')"
+
+
+@query(f"{_DONE} SELECT investigation_id, id, rip AS address, CASE WHEN starts_with(rip, '10.0.') OR starts_with(rip, '10.1.') THEN '10.0.0.0/15' ELSE '10.0.0.0/8' END AS network, 'remote' AS role, 'remote address ' || rip || ' port ' || rport || ' state ' || st || ' via ' || plugin AS detail FROM net WHERE starts_with(rip, '10.')")
+def scan_networks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nets = spark.createDataFrame([(0, "six", "2001:db8::/32"), (1, "low", "10.1.2.3/15"), (2, "ten", "10.0.0.0/8")], "position int, name string, cidr string")
+    return networks.scan_networks(_ends(spark, sf_dir), nets).drop("name")
+
+
+@query(f"{_DONE} SELECT investigation_id, rip AS address, 'ten' AS name, count(*) AS n_rows, min(id) AS first_id, 'remote' AS roles, count(DISTINCT st) AS n_details FROM net WHERE starts_with(rip, '10.') GROUP BY 1, 2")
+def summarize_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nets = spark.createDataFrame([(0, "ten", "10.0.0.0/8")], "position int, name string, cidr string")
+    return networks.summarize_scan(networks.scan_networks(_ends(spark, sf_dir), nets)).drop("network")
+
+
+@query(f"{_DONE} SELECT investigation_id, count(*) AS rows_examined, count(DISTINCT rip) AS distinct_addresses, 'windows.netscan' AS plugins FROM net GROUP BY 1")
+def scan_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return networks.scan_totals(_ends(spark, sf_dir))
+
+
+_HEX = "lower(hex(user_id % 60000 + 1))"
+
+
+@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN 4 ELSE 6 END AS version, CASE event_id % 3 WHEN 0 THEN '10.' || CAST(user_id % 250 AS STRING) || '.0.0/16' ELSE '2001:db8:0:' || lower(to_hex(user_id % 60000 + 1)) || '::/64' END AS network FROM events WHERE event_id % 3 < 2")
+def parse_networks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    four, six = "'10.' || cast(user_id % 250 AS STRING) || '.7.9/16'", f"'2001:db8::' || {_HEX} || ':1:0:0:5/64'"
+    given = view(spark, sf_dir, "events").select("event_id", F.expr(f"CASE event_id % 3 WHEN 0 THEN {four} WHEN 1 THEN {six} ELSE '999.1.1.1/8' END").alias("cidr"))
+    return networks.parse_networks(given).select("event_id", "version", "network")
 
 
 @query(f"WITH {_EV} SELECT execution_id, count(*) AS n FROM ev GROUP BY 1")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spoor.functions import attributes as A
-from spoor.operators import classify, reports, retrieval
+from spoor.operators import classify, networks, reports, retrieval
 
 from .fixtures import EVIDENCE_SQL, EXECUTIONS_SQL, evidence, executions, view
 
@@ -193,7 +193,7 @@ def find_duplicate_dumps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def match_networks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = classify.parsed(evidence(spark, sf_dir).where("artifact_type = 'netscan'")).select(A.first_key(F.col("attributes"), "remote_ip").alias("address"))
     nets = spark.createDataFrame([(0, "low", "10.0.0.0/15"), (1, "ten", "10.9.9.9/8"), (2, "loop", "127.0.0.1"), (3, "bad", "300.1.1.1/8")], "position int, name string, cidr string")
-    return reports.match_networks(rows, nets).select("address", "name")
+    return networks.match_networks(rows, nets).select("address", "name")
 
 
 @query("SELECT doc_id AS evidence_id, CASE WHEN doc_id % 5 = 0 THEN 'new' WHEN doc_id % 7 = 0 THEN 'changed' ELSE 'unchanged' END AS change FROM documents UNION ALL SELECT -1 - doc_id, 'stale' FROM documents WHERE doc_id % 11 = 0")

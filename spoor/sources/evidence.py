@@ -28,7 +28,7 @@ def dedup_evidence(df: DataFrame) -> DataFrame:
 
 
 def load_indicator_sets(spark: SparkSession, folder: str) -> DataFrame:
-    """(file, name, source, cidr), a row for each address or range of the folder's *.json sets; cidr as reports.match_networks takes it.
+    """(file, name, source, cidr), a row for each address or range of the folder's *.json sets; cidr as networks.match_networks takes it.
     Files that are no JSON objects, sets without ranges and empty entries give nothing; a set's name is its file's stem and its source the file's name where it gives none."""
     files = spark.read.option("pathGlobFilter", "*.json").text(folder, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.from_json("value", "name string, source string, networks array<string>").alias("set"))
     given = lambda c, other: F.when(F.coalesce(F.col(f"set.{c}"), F.lit("")) == "", other).otherwise(F.col(f"set.{c}")).alias(c)

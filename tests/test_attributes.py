@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from spoor.functions import attributes as A
-from spoor.operators import reports
+from spoor.operators import networks
 
 
 def test_parse_attributes(spark):
@@ -17,7 +17,7 @@ def test_scalars(spark):
         A.norm_path(F.lit(" C:\\\\Temp\\\\A.exe/ ")).alias("path"),
         *(A.is_low_information(F.lit(x)).alias(f"l{i}") for i, x in enumerate(["", "00 00 00 00", "00 00", "4d 5a 90 00", "aaaa", "text"])),
         *(A.parse_event_ts(F.lit(x)).isNull().alias(f"t{i}") for i, x in enumerate(["2024-01-01T00:00:00", "1970-01-01", "2024", "n/a"])),
-        *(reports.ipv4_number(F.lit(x)).alias(f"a{i}") for i, x in enumerate(["1.2.3.4", "01.2.3.4", "256.1.1.1"])),
+        *(networks.ipv4_number(F.lit(x)).alias(f"a{i}") for i, x in enumerate(["1.2.3.4", "01.2.3.4", "256.1.1.1"])),
     ).first()
     assert [row[f"p{i}"] for i in range(4)] == ["7", "4", None, None]
     assert [row[f"l{i}"] for i in range(6)] == [True, True, False, False, True, False]
