@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spoor.functions import attributes as A
-from spoor.operators import answers, catalogue, classify, dashboards, networks, reports, retrieval
+from spoor.operators import answers, catalogue, classify, dashboards, dispatch, networks, reports, retrieval
 
 from .fixtures import EMPTY_EXECUTIONS_SQL, empty_executions, evidence, executions, view
 from .queries import _AT, _EV, _EX, query
@@ -325,3 +325,21 @@ def malfind_ceiling(spark: SparkSession, sf_dir: str) -> DataFrame:
 def audit_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = _cited(spark, sf_dir).withColumns({"answer": F.lit("seen"), "confidence": F.when(F.col("turn") % 5 != 0, F.lit(60)), "qid": F.when(F.col("turn") % 2 == 0, "Q11").otherwise("Q1"), "plugins": F.array(F.lit("windows.netscan"))})
     return answers.audit_answers(said).select("conv_id", "turn", F.array_join("failures", ",").alias("failures"))
+
+
+_ASKED = "CASE (turn + coalesce(length(text), 0)) % 6 WHEN 0 THEN 'what of pid 7?' WHEN 1 THEN 'anything suspicious in proc1.exe?' WHEN 2 THEN 'anything suspicious?' WHEN 3 THEN 'which modules and handles?' WHEN 4 THEN 'thread 5?' ELSE 'hello' END"
+_ASKERS = f"SELECT conv_id || '-' || CAST(turn AS STRING) AS question_id, 'INV-' || CAST((turn + coalesce(length(text), 0)) % 8 AS STRING) AS investigation_id, {_ASKED} AS question FROM conversations WHERE role = 'user'"
+_RANKED = "SELECT investigation_id, id, '{0}' AS route, {1} AS question, row_number() OVER (PARTITION BY investigation_id ORDER BY {2}) AS rank FROM {3} WHERE {4}"
+_RETRIEVE = f"WITH {_AT}, q AS ({_ASKERS}), s AS (SELECT *, {_FLAGS} AS f FROM att WHERE artifact_type IN ('pslist', 'pstree', 'cmdline', 'malfind', 'netscan')), r AS (" + " UNION ALL ".join((
+    _RANKED.format("pid", "'what of pid 7?'", "id", "att", "pid = '7'"),
+    _RANKED.format("names", "'anything suspicious in proc1.exe?'", "CASE WHEN name = 'proc1.exe' OR process = 'proc1.exe' THEN 0 ELSE 1 END, id", "att", "artifact_type IN ('pslist', 'pstree', 'cmdline', 'malfind', 'netscan', 'handles', 'dlllist') AND contains(lower(artifact_value), 'proc1.exe')"),
+    _RANKED.format("suspicious", "'anything suspicious?'", f"CASE WHEN artifact_type = 'netscan' THEN 1 ELSE 0 END, {_RISK}, id", "s", "risk_level IN ('high', 'medium') OR f <> ''"),
+    _RANKED.format("types", "'which modules and handles?'", "id", "att", "artifact_type IN ('dlllist', 'handles')"),
+    _RANKED.format("general", "'hello'", _GENERAL, "att", "true"),
+)) + ") SELECT question_id, q.investigation_id, route, id, CAST(rank AS INT) AS rank FROM q JOIN r ON q.investigation_id = r.investigation_id AND q.question = r.question WHERE rank <= 8"
+
+
+@query(_RETRIEVE)
+def retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = spark.sql(_ASKERS.replace("FROM conversations", f"FROM parquet.`{sf_dir}/conversations.parquet`"))
+    return dispatch.retrieve(asked, parsed(spark, sf_dir), F.col("attributes"), 8)
