@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from spoor.functions.attributes import basename, cmd_token, first_key, looks_like_path, norm_path, normalize_pid, parse_attributes, stem
 
+from spoor.state.store import new_folder
+
 from . import rules
 
 RULE_VERSION, MIN_FAMILIES, MIN_FAMILIES_MALFIND = "1.0", 2, 1
@@ -40,37 +42,55 @@ def entities(family: Column, a: Column) -> Column:
     return F.array_distinct(F.array_compact(F.array(*found)))
 
 
-def entity_edges(evidence: DataFrame) -> DataFrame:
-    """(investigation_id, id, family, kind, value), one row per row and entity."""
-    rows = parsed(evidence).where("id is not null and attributes is not null")
-    return rows.select("investigation_id", "id", F.col("artifact_type").alias("family"), F.explode(entities(F.col("artifact_type"), F.col("attributes"))).alias("e")).select("investigation_id", "id", "family", "e.kind", "e.value")
+def judged(evidence: DataFrame) -> DataFrame:
+    """evidence with usable, hits and entities, all from one parse of a row's attributes, or from those that normalize_evidence stored."""
+    rows = evidence if "attributes" in evidence.columns else parsed(evidence)
+    kind, a = F.col("artifact_type"), F.col("attributes")
+    return rows.select(*evidence.columns, a.isNotNull().alias("usable"), rules.matched(kind, a).alias("hits"), F.when(a.isNotNull(), entities(kind, a)).alias("entities"))
+
 
+def entity_edges(rows: DataFrame) -> DataFrame:
+    """(investigation_id, id, family, kind, value) of evidence or of judged rows, one row per row and entity."""
+    if "entities" not in rows.columns:
+        rows = judged(rows)
+    return rows.where("id is not null and usable").select("investigation_id", "id", F.col("artifact_type").alias("family"), F.explode("entities").alias("e")).select("investigation_id", "id", "family", "e.kind", "e.value")
 
-def correlate(evidence: DataFrame) -> DataFrame:
+
+def correlate(rows: DataFrame) -> DataFrame:
     """(id, families): the other families that share an entity with a row, sorted; rows without any are left out."""
-    edges = entity_edges(evidence)
+    edges = entity_edges(rows)
     key = ["investigation_id", "kind", "value"]
     shared = edges.groupBy(*key).agg(F.collect_set("family").alias("with")).where(F.size("with") > 1)
     near = edges.join(shared, key).select("id", F.explode(F.array_except("with", F.array("family"))).alias("other"))
     return near.groupBy("id").agg(F.sort_array(F.collect_set("other")).alias("families"))
 
 
-def classify_evidence(evidence: DataFrame) -> DataFrame:
-    """evidence with severity, score, indicators, reasons, corroborated and families."""
-    found = correlate(evidence)
-    rows = parsed(evidence).withColumn("hits", rules.matched(F.col("artifact_type"), F.col("attributes"))).join(found, "id", "left")
-    families = F.coalesce("families", F.array().cast("array<string>"))
-    usable = F.col("attributes").isNotNull()
+def scored(rows: DataFrame) -> DataFrame:
+    """Judged rows with families, as correlate gives them or null: with corroborated, score, severity, indicators and reasons."""
     known = F.col("artifact_type").isin(rules.families())
     least = F.when(F.col("artifact_type") == "malfind", MIN_FAMILIES_MALFIND).otherwise(MIN_FAMILIES)
-    rows = rows.withColumn("families", families).withColumn("corroborated", usable & known & (F.size("families") >= least))
+    rows = rows.withColumn("families", F.coalesce("families", F.array().cast("array<string>")))
+    rows = rows.withColumn("corroborated", F.coalesce(F.col("usable") & known & (F.size("families") >= least), F.lit(False)))
     base = F.aggregate("hits", F.lit(0), lambda s, h: s + h["weight"])
     strong = F.exists("hits", lambda h: h["strong"])
     boost = F.when(strong & F.col("corroborated"), ESCALATION).when(F.col("corroborated"), CORROBORATION).otherwise(0)
-    rows = rows.withColumn("score", F.when(usable & known, base + boost).otherwise(0)).withColumn("strong", strong)
-    level = F.when(~usable, "unknown").when(~known, "insufficient-evidence").when((F.col("score") >= HIGH_FROM) & F.col("strong") & F.col("corroborated"), "high").when(F.col("strong") | (F.col("score") >= MEDIUM_FROM), "medium").otherwise("low")
+    rows = rows.withColumn("score", F.when(F.col("usable") & known, base + boost).otherwise(0)).withColumn("strong", strong)
+    level = F.when(~F.col("usable"), "unknown").when(F.coalesce(~known, F.lit(True)), "insufficient-evidence").when((F.col("score") >= HIGH_FROM) & F.col("strong") & F.col("corroborated"), "high").when(F.col("strong") | (F.col("score") >= MEDIUM_FROM), "medium").otherwise("low")
     rows = rows.withColumn("severity", level).withColumn("indicators", F.transform("hits", lambda h: h["code"])).withColumn("reasons", F.transform("hits", lambda h: h["reason"]))
-    return rows.select(*evidence.columns, "severity", "score", "indicators", "reasons", "corroborated", "families")
+    return rows.drop("strong")
+
+
+def classify_evidence(evidence: DataFrame) -> DataFrame:
+    """evidence with severity, score, indicators, reasons, corroborated and families.
+
+    A row is judged once: what its attributes say is written to the shared folder, and the entity join and the score both read it there, the join its
+    id, family and entities only."""
+    rows = judged(evidence)
+    folder = new_folder(evidence.sparkSession, "judged")
+    rows.write.parquet(folder)
+    rows = evidence.sparkSession.read.schema(rows.schema).parquet(folder)
+    found = scored(rows.join(correlate(rows), "id", "left"))
+    return found.select(*evidence.columns, "severity", "score", "indicators", "reasons", "corroborated", "families")
 
 
 def classify_incremental(evidence: DataFrame) -> DataFrame:
