@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAP = "map<string,string>"
@@ -11,17 +11,31 @@ EXECUTABLE = ("exe", "dll", "bat", "ps1", "scr", "pif")
 FILE_LIKE = ("exe", "dll", "bat", "cmd", "ps1", "scr", "pif")
 
 
-def parse_attributes(text: Column) -> Column:
-    """The JSON object's keys, lower-cased (the later of clashing keys wins), and values as text; null where text is no object or empty."""
-    raw = F.from_json(text, MAP)
-    plain = F.forall(F.map_keys(raw), lambda k: k == F.lower(k))
+def json_object(text: Column) -> Column:
+    """The JSON object's keys and values as text; null where text is no object."""
+    return F.from_json(text, MAP)
+
+
+def lower_keys(raw: Column) -> Column:
+    """A map with its keys lower-cased (the later of clashing keys wins); null if it is empty. raw should be a column, not an expression: it is named several times."""
+    plain = F.map_keys(raw) == F.transform(F.map_keys(raw), F.lower)
     # the general form runs only for rows with an upper-case key
-    entries = F.transform(F.map_entries(raw), lambda e, i: F.struct(F.lower(e["key"]).alias("key"), F.struct(i.alias("i"), e["value"].alias("value")).alias("v")))
+    entries = F.transform(F.map_entries(raw), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
     names = F.array_distinct(F.transform(F.map_keys(raw), F.lower))
-    last = F.transform(names, lambda k: F.struct(k.alias("key"), F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)["v"]["value"].alias("value")))
+    last = F.transform(names, lambda k: F.struct(k.alias("key"), F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)["value"].alias("value")))
     return F.when((F.size(raw) > 0) & plain, raw).when(F.size(raw) > 0, F.map_from_entries(last))
 
 
+def parse_attributes(text: Column) -> Column:
+    """The JSON object's keys, lower-cased (the later of clashing keys wins), and values as text; null where text is no object or empty."""
+    return lower_keys(json_object(text))
+
+
+def with_attributes(df: DataFrame, text: str = "artifact_value") -> DataFrame:
+    """df with attributes, as parse_attributes gives them, from one parse a row."""
+    return df.withColumn("_object", json_object(F.col(text))).withColumn("attributes", lower_keys(F.col("_object"))).drop("_object")
+
+
 def first_key(attributes: Column, *keys: str) -> Column:
     """The first of the keys that has a value."""
     return F.coalesce(*(F.try_element_at(attributes, F.lit(k)) for k in keys))

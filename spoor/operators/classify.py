@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spoor.functions.attributes import basename, cmd_token, first_key, looks_like_path, norm_path, normalize_pid, parse_attributes, stem
+from spoor.functions.attributes import basename, cmd_token, first_key, looks_like_path, norm_path, normalize_pid, stem, with_attributes
 
-from spoor.state.store import new_folder
+from spoor.state.store import written
 
 from . import rules
 
@@ -21,7 +21,7 @@ ESCALATION, CORROBORATION, MEDIUM_FROM, HIGH_FROM = 4, 2, 3, 6
 
 def parsed(evidence: DataFrame) -> DataFrame:
     """evidence(id, investigation_id, artifact_type, artifact_value, ...) with attributes."""
-    return evidence.withColumn("attributes", parse_attributes(F.col("artifact_value")))
+    return with_attributes(evidence)
 
 
 def entities(family: Column, a: Column) -> Column:
@@ -85,10 +85,7 @@ def classify_evidence(evidence: DataFrame) -> DataFrame:
 
     A row is judged once: what its attributes say is written to the shared folder, and the entity join and the score both read it there, the join its
     id, family and entities only."""
-    rows = judged(evidence)
-    folder = new_folder(evidence.sparkSession, "judged")
-    rows.write.parquet(folder)
-    rows = evidence.sparkSession.read.schema(rows.schema).parquet(folder)
+    rows = written(judged(evidence), "judged")
     found = scored(rows.join(correlate(rows), "id", "left"))
     return found.select(*evidence.columns, "severity", "score", "indicators", "reasons", "corroborated", "families")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spoor.functions.attributes import with_attributes
+
 
 def read_plugin_output(spark: SparkSession, path: str, plugin: str) -> DataFrame:
     """(plugin, row): the objects of JSON-array files as text. A file that is no JSON array gives nothing; elements that are no objects are dropped."""
@@ -14,8 +16,9 @@ def read_plugin_output(spark: SparkSession, path: str, plugin: str) -> DataFrame
 
 
 def normalize_evidence(df: DataFrame) -> DataFrame:
-    """artifact_type: the plugin's name after its last dot."""
-    return df.withColumn("artifact_type", F.element_at(F.split("plugin", r"\."), -1)).withColumnRenamed("row", "artifact_value")
+    """artifact_type: the plugin's name after its last dot. attributes: the row's keys, lower-cased (the later of clashing keys wins), with their values as text; null for a row without
+    any. Classification and retrieval read those instead of parsing the row again."""
+    return with_attributes(df.withColumn("artifact_type", F.element_at(F.split("plugin", r"\."), -1)).withColumnRenamed("row", "artifact_value"))
 
 
 def write_evidence(df: DataFrame, path: str, truncate_at: int | None = None) -> None:

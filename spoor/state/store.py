@@ -37,6 +37,13 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, written once to the shared folder and read from there: what is used several times is computed once, and lost executors compute nothing of it again."""
+    folder = new_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 class Table(NamedTuple):
     schema: str
     key: tuple[str, ...]

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import Store, Table
+from .store import Store, Table, written
 
 GRAM = 3
 #: Tables whose plan says that they are at most so large are broadcast, others are shuffled.
@@ -43,7 +43,7 @@ def match(rows: DataFrame, tokens: DataFrame, keys: list[str], text: str = "text
     """(keys, id, token) for rows(keys, id, text) that hold one of tokens(keys, token), whatever the case; without a kept index: two scans of the rows, of which only wanted grams are shuffled.
 
     keys must not be null. Null and empty tokens are found nowhere. Rows that repeat an id are found once if any holds the token."""
-    wanted = _lowered(tokens, keys)
+    wanted = written(_lowered(tokens, keys), "tokens")
     low = rows.select(*keys, "id", F.lower(text).alias("low"))
     long = wanted.where(F.char_length("token") >= GRAM)
     asked = long.select(*keys, F.explode(grams(F.col("token"), GRAM)).alias("gram")).distinct()

@@ -67,7 +67,7 @@ def stream_progress(finished: DataFrame, plan: DataFrame, *, late: str = "1 hour
     the investigation never complete. An execution counts once, so finished never falls. Of a complete investigation only its sums are kept, until the
     watermark, late behind the newest event, passes its last event by linger_ms; repeats that come after are late and dropped. One that never
     completes is forgotten idle_ms after its last event. Rows with nulls are dropped."""
-    rows = finished.select("investigation_id", F.col("execution_id").cast("long").alias("execution_id"), "finished_at").where("investigation_id is not null and execution_id is not null and finished_at is not null")
+    rows = finished.select("investigation_id", F.col("execution_id").cast("long").alias("execution_id"), F.col("finished_at").cast("timestamp").alias("finished_at")).where("investigation_id is not null and execution_id is not null and finished_at is not null")
     totals = plan.select("investigation_id", F.col("total").cast("long").alias("total"))
     rows = rows.withWatermark("finished_at", late).join(totals, "investigation_id", "left").fillna(0, ["total"])
     schema = "investigation_id string, finished long, total long, percent long, complete boolean"
