@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from spoor.functions.attributes import with_attributes
 
+from .split_json import read_arrays
+
 
 def read_plugin_output(spark: SparkSession, path: str, plugin: str) -> DataFrame:
-    """(plugin, row): the objects of JSON-array files as text. A file that is no JSON array gives nothing; elements that are no objects are dropped."""
-    files = spark.read.text(path, wholetext=True)
-    rows = files.select(F.explode(F.from_json("value", "array<string>")).alias("row"))
-    return rows.where(F.ltrim("row").startswith("{")).select(F.lit(plugin).alias("plugin"), "row")
+    """(plugin, row): the objects of JSON-array files of any size as text. A file that is no JSON array gives nothing; elements that are no objects are dropped."""
+    rows, _ = read_arrays(spark, [path])
+    return rows.select(F.lit(plugin).alias("plugin"), "row")
 
 
 def normalize_evidence(df: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,14 +12,25 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from spoor.sources.evidence import normalize_evidence
+from spoor.sources.split_json import read_arrays
 
 
-def stream_ingest(spark: SparkSession, folder: str, out: str, checkpoint: str) -> StreamingQuery:
-    """Append each new file <plugin>.json of folder to out. A file that is no JSON array gives no rows and stops nothing."""
-    files = spark.readStream.schema("value string").option("wholetext", "true").text(folder)
-    plugin = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1)
-    rows = files.select(plugin.alias("plugin"), F.explode(F.from_json("value", "array<string>")).alias("row")).where(F.ltrim("row").startswith("{"))
-    return normalize_evidence(rows).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def stream_ingest(spark: SparkSession, folder: str, out: str, checkpoint: str, verdicts: str | None = None) -> StreamingQuery:
+    """Each new file <plugin>.json of folder, of any size, normalised and written to out, a folder a batch. A file that is no JSON array gives no rows and stops nothing;
+    verdicts, if given, gets (file, accepted, rows) of every file. A batch that is repeated after a failure replaces what it had written."""
+    files = spark.readStream.schema("path string, modificationTime timestamp, length long, content binary").format("binaryFile").option("pathGlobFilter", "*.json").option("maxFilesPerTrigger", "1000").load(folder)
+
+    def take(batch: DataFrame, k: int) -> None:
+        paths = [re.sub(r"([\[\]{}*?\\])", r"\\\1", r.path) for r in batch.select("path").collect()]  # at most a trigger's files; their contents are not read
+        if not paths:
+            return
+        rows, told = read_arrays(spark, paths)
+        plugin = F.regexp_extract("file", r"([^/]*)\.json$", 1)
+        normalize_evidence(rows.select(plugin.alias("plugin"), "row")).write.mode("overwrite").parquet(f"{out}/batch={k}")
+        if verdicts is not None:
+            told.write.mode("overwrite").parquet(f"{verdicts}/batch={k}")
+
+    return files.writeStream.option("checkpointLocation", checkpoint).foreachBatch(take).trigger(availableNow=True).start()
 
 
 class _Progress(StatefulProcessor):

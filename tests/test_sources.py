@@ -13,9 +13,10 @@ def test_files_and_stream(spark, tmp_path):
     S.write_evidence(rows, str(tmp_path / "out"), truncate_at=5)
     assert {r.artifact_value for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {'{"PID'}
     for _ in range(2):  # the second run finds nothing new
-        stream_ingest(spark, str(folder), str(tmp_path / "sink"), str(tmp_path / "mark")).awaitTermination()
+        stream_ingest(spark, str(folder), str(tmp_path / "sink"), str(tmp_path / "mark"), str(tmp_path / "told")).awaitTermination()
         found = spark.read.parquet(str(tmp_path / "sink")).collect()
-        assert len(found) == 2 and {r.plugin for r in found} == {"windows.pslist"}
+        assert len(found) == 2 and {r.plugin for r in found} == {"windows.pslist"} and found[0].attributes["pid"] in "45"
+        assert sorted((r.file.rsplit("/")[-1], r.accepted, r.rows) for r in spark.read.parquet(str(tmp_path / "told")).collect()) == [("windows.netscan.json", False, 0), ("windows.pslist.json", True, 2)]
 
 
 def test_indicator_sets(spark, tmp_path):
