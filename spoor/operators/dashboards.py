@@ -103,3 +103,15 @@ def timeline_events(scoped: DataFrame, attributes: Column) -> DataFrame:
     raw = F.when(F.col("plugin").isin(*PROCESS_PLUGINS), A.first_key(attributes, "createtime")).otherwise(A.first_key(attributes, "created"))
     rows = scoped.where(F.col("plugin").isin(*PROCESS_PLUGINS, *SOCKET_PLUGINS) & (F.col("execution_status") == "completed"))
     return rows.select("investigation_id", A.parse_event_ts(raw).alias("ts"), describe_event(F.col("plugin"), attributes).alias("description"), "plugin", "id").where("ts is not null")
+
+
+def overview_with_totals(evidence: DataFrame, executions: DataFrame) -> DataFrame:
+    """(investigation_id, plugin_name, level, rows, high, medium, rank) of each plugin's last completed execution: level plugin, investigation or all, in one pass.
+
+    rank orders an investigation's plugins by high, then medium rows, most first, then by name; totals have none. A plugin whose last completed execution has no rows is not listed."""
+    last = executions.where("execution_status = 'completed'").groupBy("investigation_id", "plugin_name").agg(F.max("id").alias("execution_id"))
+    rows = evidence.select("execution_id", "risk_level").groupBy("execution_id").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("risk_level") == "high").alias("high"), F.count_if(F.col("risk_level") == "medium").alias("medium"))
+    sums = rows.join(last, "execution_id").rollup("investigation_id", "plugin_name").agg(F.grouping_id().alias("g"), *(F.sum(c).alias(c) for c in ("rows", "high", "medium")))
+    level = F.when(F.col("g") == 0, "plugin").when(F.col("g") == 1, "investigation").otherwise("all")
+    order = Window.partitionBy("investigation_id", "g").orderBy(F.desc("high"), F.desc("medium"), "plugin_name")
+    return sums.withColumn("rank", F.when(F.col("g") == 0, F.row_number().over(order))).select("investigation_id", "plugin_name", level.alias("level"), "rows", "high", "medium", "rank")

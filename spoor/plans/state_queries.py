@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spoor.functions import attributes as A
-from spoor.operators import classify, dispatch
+from spoor.operators import classify, dashboards, dispatch, lookup
+from spoor.operators.fixed_catalogues import PRODUCTS, ROUTES
 from spoor.sources.evidence import normalize_evidence
+from spoor.sources.split_json import read_arrays
 from spoor.state.document_index import DocumentIndex
 from spoor.state.entity_index import EntityIndex
 from spoor.state.store import new_folder
@@ -149,3 +151,57 @@ _REASONS = (
 def classify_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = classify.judged(evidence(spark, sf_dir))
     return rows.select("id", F.array_join(F.transform("hits", lambda h: h["reason"]), "|").alias("reasons"))
+
+
+@query(f"WITH {_EV}, {_EX}, l AS (SELECT investigation_id, plugin_name, max(id) AS execution_id FROM ex WHERE execution_status = 'completed' GROUP BY 1, 2), s AS (SELECT l.investigation_id, plugin_name, grouping(l.investigation_id, plugin_name) AS g, count(*) AS rows, count(*) FILTER (risk_level = 'high') AS high, count(*) FILTER (risk_level = 'medium') AS medium FROM ev JOIN l ON ev.execution_id = l.execution_id GROUP BY ROLLUP (l.investigation_id, plugin_name)) SELECT investigation_id, plugin_name, CASE g WHEN 0 THEN 'plugin' WHEN 1 THEN 'investigation' ELSE 'all' END AS level, rows, high, medium, CASE WHEN g = 0 THEN CAST(row_number() OVER (PARTITION BY investigation_id, g ORDER BY high DESC, medium DESC, plugin_name) AS INT) END AS rank FROM s")
+def overview_with_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dashboards.overview_with_totals(evidence(spark, sf_dir), executions(spark, sf_dir))
+
+
+_NORMAL_TEXT = "array_to_string(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9.+_-]+'), ' ')"
+
+
+def _route_sql() -> str:
+    sums = ", ".join("CAST(" + " + ".join(f"CASE WHEN contains(h, '{k}') THEN {len(k.split()) * 10 + len(k)} ELSE 0 END" for k in words) + f" AS INT) AS {q}" for q, words in ROUTES)
+    best = f"greatest({', '.join(q for q, _ in ROUTES)})"
+    return f"WITH n AS (SELECT conv_id, turn, {_NORMAL_TEXT} AS h FROM conversations), s AS (SELECT *, {sums} FROM n) SELECT conv_id, turn, CASE WHEN {best} = 0 THEN NULL {' '.join(f'''WHEN {q} = {best} THEN '{q}' ''' for q, _ in ROUTES)} END AS qid FROM s"
+
+
+@query(_route_sql())
+def route_by_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All turns of all conversations, by the fixed routes."""
+    table = spark.createDataFrame([(i, q, k) for i, (q, words) in enumerate(ROUTES) for k in words], "place int, qid string, keyword string")
+    return lookup.route_questions(view(spark, sf_dir, "conversations").withColumnRenamed("text", "question"), table).select("conv_id", "turn", "qid")
+
+
+#: A catalogue made of the events: a few hundred tools that share names, paths, tokens and ports.
+_CATALOGUE = """SELECT DISTINCT 'T' || CAST(user_id % 300 AS STRING) AS tool, CASE event_id % 4 WHEN 0 THEN 'process' WHEN 1 THEN 'path' WHEN 2 THEN 'token' ELSE 'port' END AS kind,
+  CASE event_id % 4 WHEN 0 THEN 'Proc' || CAST(user_id % 10 AS STRING) || '.exe' WHEN 1 THEN '/file' || CAST(user_id % 10 AS STRING) || '.exe' WHEN 2 THEN ':444' || CAST(user_id % 8 AS STRING) ELSE CAST(440 + user_id % 7 AS STRING) END AS value,
+  user_id % 300 % 5 = 0 AS builtin FROM events WHERE event_id % 9 = 0"""
+
+
+@query(f"WITH {_AT}, c AS ({_CATALOGUE}), s AS (SELECT a.investigation_id, a.id, c.tool, 'executed' AS strength FROM att a JOIN c ON kind = 'process' AND lower(value) = lower(name) WHERE artifact_type = 'pslist' UNION SELECT a.investigation_id, a.id, c.tool, 'executed' FROM att a JOIN c ON kind = 'token' AND contains(lower(cmd), value) WHERE artifact_type = 'cmdline' UNION SELECT a.investigation_id, a.id, c.tool, 'on-disk' FROM att a JOIN c ON kind = 'path' AND NOT builtin AND contains(lower(name), value) WHERE artifact_type = 'filescan'), t AS (SELECT DISTINCT a.investigation_id, a.id, c.tool, 'network' AS strength FROM att a JOIN c ON kind = 'port' AND value = rport JOIN s ON s.investigation_id = a.investigation_id AND s.tool = c.tool WHERE artifact_type = 'netscan') SELECT * FROM s UNION ALL SELECT * FROM t")
+def match_tools_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    catalogue = spark.sql(_CATALOGUE.replace("FROM events", f"FROM parquet.`{sf_dir}/events.parquet`"))
+    found = lookup.match_tools(parsed(spark, sf_dir), F.col("attributes"), catalogue, image=("imagefilename", "name"), command=("args", "cmd"), peer="remote_ip", peer_port="remote_port")
+    return found.drop("detail")
+
+
+@query(f"WITH {_AT} SELECT id, CASE process WHEN 'proc1.exe' THEN 'Guard' WHEN 'proc3.exe' THEN 'Watch' END AS product FROM att WHERE artifact_type = 'malfind'")
+def security_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    products = spark.createDataFrame([(0, "PROC1.exe", "Guard"), (1, "proc3.exe", "Watch"), (2, "proc1.exe", "later"), *((i + 3, *p) for i, p in enumerate(PRODUCTS))], "position int, name string, product string")
+    rows = parsed(spark, sf_dir).where("artifact_type = 'malfind'").select("id", A.first_key(F.col("attributes"), "process").alias("process"))
+    return lookup.with_security_product(rows, F.col("process"), products).select("id", "product")
+
+
+@query("SELECT event_id AS id FROM events WHERE user_id % 6 <> 3")
+def read_large_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence written as six JSON arrays and read back by ranges; one has lost its tail and is rejected."""
+    rows = evidence(spark, sf_dir).select(F.to_json(F.struct("id", "artifact_value", F.array(F.struct("plugin")).alias("__children"))).alias("value"), "id")
+    part = view(spark, sf_dir, "events").select(F.col("event_id").alias("id"), (F.col("user_id") % 6).alias("part"))
+    lines = rows.join(part, "id").select("part", F.lit(1).alias("place"), F.concat("value", F.lit(",")).alias("value"))
+    ends = part.select("part").distinct().select("part", F.explode(F.array(F.struct(F.lit(0).alias("place"), F.lit("[").alias("value")), F.struct(F.lit(2).alias("place"), F.when(F.col("part") == 3, "null").otherwise("null]").alias("value")))).alias("e")).select("part", "e.*")
+    folder = new_folder(spark, "arrays")
+    lines.unionByName(ends).repartition("part").sortWithinPartitions("part", "place").select("part", "value").write.partitionBy("part").text(folder)
+    found, _ = read_arrays(spark, [folder])
+    return found.select(F.get_json_object("row", "$.id").cast("long").alias("id"))
