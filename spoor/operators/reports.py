@@ -130,10 +130,10 @@ def dedup_timeline(events: DataFrame) -> DataFrame:
 
 
 def timeline_ends(events: DataFrame, limit: int = 40) -> DataFrame:
-    """All events, or the first and the last half of limit: two top-k, no global window."""
-    half = limit // 2
-    first = events.orderBy("ts", "description").limit(limit - half)
-    last = events.orderBy(F.desc("ts"), F.desc("description")).limit(half)
+    """All events, or the first and the last half of limit: two top-k, no global window. Equal times and descriptions go by id, where there is one."""
+    half, tie = limit // 2, [c for c in ("id",) if c in events.columns]
+    first = events.orderBy("ts", "description", *tie).limit(limit - half)
+    last = events.orderBy(F.desc("ts"), F.desc("description"), *map(F.desc, tie)).limit(half)
     return first.union(last).distinct()
 
 

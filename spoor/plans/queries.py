@@ -217,4 +217,4 @@ def vector_search_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.vector_search_all(vectors, vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 20)
 
 
-from . import case_queries, state_queries  # noqa: E402, F401  register their queries here
+from . import case_queries, extra_queries, state_queries  # noqa: E402, F401  register their queries here

@@ -106,7 +106,7 @@ def execution_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Handles of threads, as the given tables have none.
-_THREADS = "CASE WHEN artifact_type = 'handles' THEN replace(artifact_value, '\"granted_access\"', '\"type\": \"Thread\", \"handlevalue\": \"' || CAST(id % 6 AS STRING) || '\", \"granted_access\"') ELSE artifact_value END"
+_THREADS = "CASE WHEN artifact_type = 'handles' THEN replace(artifact_value, '\"granted_access\"', '\"type\": \"Thread\", \"handlevalue\": \"' || CAST(id % 7 AS STRING) || '\", \"granted_access\"') ELSE artifact_value END"
 _PLUGINS = "CASE (length(question) + length(question_id)) % 3 WHEN 0 THEN 'windows.netscan,windows.cmdline' WHEN 1 THEN 'windows.nothing' ELSE '' END"
 _RANK = "row_number() OVER (PARTITION BY {0} ORDER BY {1})"
 _RISKS = "CASE risk_level WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 4 END"
@@ -120,7 +120,7 @@ pins AS (SELECT q.question_id, q.investigation_id, r.id, 0 AS s, CASE r.id WHEN
 best AS (SELECT question_id, investigation_id, id, min((s, r)) AS b FROM (SELECT * FROM scoped WHERE r <= 6 UNION ALL SELECT * FROM pins) u GROUP BY ALL),
 first AS (SELECT question_id, investigation_id, 'plugins' AS route, id, {_RANK.format("question_id", "b")} AS rank FROM best),
 rest AS (SELECT * FROM q WHERE question_id NOT IN (SELECT question_id FROM first)),
-tids AS (SELECT investigation_id, id, {_RANK.format("investigation_id", "id")} AS rank FROM rows WHERE artifact_type = 'handles' AND id % 6 = 5),
+tids AS (SELECT investigation_id, id, {_RANK.format("investigation_id", "id")} AS rank FROM rows WHERE artifact_type = 'handles' AND id % 7 = 5),
 pids AS (SELECT investigation_id, id, {_RANK.format("investigation_id", "id")} AS rank FROM rows WHERE pid = '7'),
 general AS (SELECT investigation_id, id, {_RANK.format("investigation_id", _GENERAL)} AS rank FROM rows)
 SELECT question_id, investigation_id, route, id, CAST(rank AS INT) AS rank FROM first WHERE rank <= 6

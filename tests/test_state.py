@@ -59,7 +59,7 @@ def test_a_transaction_that_is_lost_or_late_changes_nothing(spark):
 def test_compaction_and_vacuum_keep_the_rows(spark):
     s, expected = store(spark), {}
     rng = random.Random(1)
-    for batch in range(4):
+    for batch in range(3):
         new = {rng.randrange(12): str(batch) for _ in range(5)}
         change = s.begin(batch)
         change.put("things", frame(spark, [(i, "g", v) for i, v in new.items()]))
@@ -67,7 +67,7 @@ def test_compaction_and_vacuum_keep_the_rows(spark):
         change.commit()
         expected |= new
     s.compact()
-    assert s.vacuum() == 8 and rows(s) == sorted((i, "g", v) for i, v in expected.items()) and s.begin(3) is None
+    assert s.vacuum() == 6 and rows(s) == sorted((i, "g", v) for i, v in expected.items()) and s.begin(2) is None
 
 
 ATTRIBUTES = (
@@ -97,17 +97,17 @@ def plain(df):
 
 
 def test_batches_give_what_one_run_over_all_rows_gives(spark):
-    data = made(240, 5)
+    data = made(120, 5)
     index = EntityIndex(spark, "file://" + tempfile.mkdtemp(prefix="spark-"), buckets=4)
     known = {}
-    for batch, (lo, hi) in enumerate(((0, 100), (100, 130), (130, 240), (90, 140))):  # the last are all known
+    for batch, (lo, hi) in enumerate(((0, 80), (80, 120), (40, 90))):  # the last are all known
         got = index.classify(spark.createDataFrame(data[lo:hi], SCHEMA), batch)
         changed = {r.id: (r.severity, r.score, r.families) for r in got.collect()}
-        whole = {r.id: (r.severity, r.score, r.families) for r in _whole(spark, data[: max(hi, 240 if batch == 3 else hi)]).collect()}
+        whole = {r.id: (r.severity, r.score, r.families) for r in _whole(spark, data[: max(hi, 120 if batch == 2 else hi)]).collect()}
         assert set(changed) == {i for i in whole if whole[i] != known.get(i)}  # new rows, and those that an entity's new family reaches, no others
         known |= changed
         assert known == whole
-    assert index.classify(spark.createDataFrame(data[:5], SCHEMA), 3) is None
+    assert index.classify(spark.createDataFrame(data[:5], SCHEMA), 2) is None
     assert plain(index.classified()) == plain(_whole(spark, data))
 
 
@@ -136,7 +136,7 @@ def test_rows_are_parsed_once(spark):
     rows = spark.createDataFrame(made(10, 7), SCHEMA)
     plan = classify.judged(rows)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json(") <= 6 and plan.count("AS attributes") == 1  # one projection makes the attributes, and nothing above it parses
-    stored = rows.withColumn("attributes", classify.parsed(rows)["attributes"]) if False else classify.parsed(rows)
+    stored = classify.parsed(rows)
     assert plain(classify.classify_evidence(stored)) == plain(classify.classify_evidence(rows))
 
 
