@@ -8,7 +8,8 @@ else a main element, prints that element's other slots: there the wrapper decide
 host's wrapper, by the optional and repeated groups, and each position's label decides: a slot that holds one text on at
 least SAME_PAGES different pages, and stands on at least half of the host's pages of this kind, is template; all others
 are main. The paragraphs or list items of a repeated group have one label together, so a sentence that stories share stays
-among others. A page whose slots would all be template keeps them. Copies of a page count once.
+among others. A page whose slots would all be template keeps them. Copies of a page count once. An article whose class says comment, reply, card, teaser, related or advert is
+another story's or a reader's, unless the page has no other; elements that are hidden or not displayed are not main.
 
 Shapes are counted in Spark, with one row per (host, shape) and batch, so a host that holds a third of
 all pages is a few rows. Shapes are merged MERGED at a time in rounds; shapes whose wrapper would pass LONGEST_WRAPPER items stay in several
@@ -44,6 +45,12 @@ INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del",
 #: These show nothing of their own within a line.
 UNSEEN = {"script", "style", "noscript", "template", "svg", "iframe", "object", "select", "textarea", "button", "input"}
 NOISE = re.compile(r"(?i)(?:^|[\s_-])(?:ads?|adverts?|advertisement|sponsor(?:ed)?|promo|banner|comments?|disqus|replies|cookies?|consent|notice|gdpr|side-?bar|breadcrumbs?|share|social|related|newsletter|subscribe|popup|modal|menu|nav(?:bar|igation)?|footer|header|masthead|pagination|widget|navigation|complementary|contentinfo)(?:$|[\s_-])")
+#: Of an article or a main element, what says that it is another story or a reader's.
+APART = re.compile(r"(?i)(?:^|[\s_-])(?:ads?|adverts?|advertisement|sponsor(?:ed)?|promo|comments?|disqus|reply|replies|cards?|teasers?|related|widget)(?:$|[\s_-])")
+_HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
+_VALUE = re.compile(r"=\s*(?:\"[^\"]*+\"?|'[^']*+'?|[^\s>]++)")
+_HIDDEN = re.compile(r"(?i)(?<![\w-])hidden(?![\w-])")
+_UNDISPLAYED = re.compile(r"(?i)(?<![\w-])style\s*=\s*[\"']?[^\"'>]*?display\s*:\s*none")
 #: A quote opens a value after = only. What is not closed goes on to the end of the page, as in browsers; every character is read once.
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+)?+)*+)(?:>|\Z)", re.S)
 _MARK = re.compile(r"(?i)(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>\"']++))")
@@ -57,6 +64,14 @@ _PROSE = re.compile(r"^\(.*\|(?:p|li|dt|dd|h[1-6]|blockquote|pre)[ )].*\)\+$")
 _SLOTS = "array<struct<item:int,part:int,value:string,pages:bigint,contents:array<string>>>"
 
 
+def _is_noise(name: str, marks: str) -> bool:
+    """Whether an element's class, id or role, its words also where capitals join them, names what is not main, or it is not shown."""
+    words = NOISE if name not in ("article", "main") else APART
+    if any(words.search(_HUMP.sub("-", a or b or c)) for what, a, b, c in _MARK.findall(marks) if what.lower() != "id" or name not in HEADINGS):
+        return True
+    return bool(_HIDDEN.search(_VALUE.sub("=", marks)) or _UNDISPLAYED.search(marks))
+
+
 def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
     """(kind, name or text, noise) of a page: kind is open, close or text."""
     at, n = 0, len(page)
@@ -76,8 +91,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
         if m[1]:
             yield "close", name, False
             continue
-        noise = any(NOISE.search(a or b or c) for what, a, b, c in _MARK.findall(m[3]) if what.lower() != "id" or name not in HEADINGS) if m[3] else False
-        yield "open", name, noise
+        yield "open", name, _is_noise(name, m[3]) if m[3] else False
         if name in RAW:  # nothing in it is markup
             end = re.compile(rf"</{re.escape(name)}\b", re.I).search(page, at)
             at = end.start() if end else n
@@ -85,7 +99,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
 
 def stream(page: str) -> tuple[list[str], list[str]]:
     """The page's tokens for alignment, and the texts of its slots. A slot token says where it lies: #a in an article,
-    #m in a main element, #b elsewhere, #x in what is skipped. A block tag is |. An article or main element that only an
+    #m in a main element, #b elsewhere, #x in what is skipped. A block tag is |. An article or main element that only its own or an
     ancestor's class, id or role skips counts, where the page has no other and it holds more text than all that's not skipped."""
     out, texts, held = _stream(page, False)
     if held and not any(t in ("#a", "#m") and not x.isspace() for t, x in zip((t for t in out if t[0] == "#"), texts)):
@@ -101,8 +115,20 @@ def _stream(page: str, reset: bool) -> tuple[list[str], list[str], bool]:
     out: list[str] = []
     texts: list[str] = []
     stack: list[tuple[str, bool, bool, str]] = []  # name, skipped, by a fixed element, region
+    places: dict[str, list[int]] = {}  # where in the stack elements of a name are open
+    blocks: list[int] = []  # where those are that are not inline
     skip, fixed, region, held = False, False, "b", False
     line: int | None = None  # the last shown slot of this line
+
+    def pop_to(i: int) -> None:
+        nonlocal skip, fixed, region
+        while len(stack) > i:  # each element is popped once
+            name, skip, fixed, region = stack.pop()
+            places[name].pop()
+            if blocks and blocks[-1] == len(stack):
+                blocks.pop()
+
+    last = lambda names: max((places[n][-1] for n in names if places.get(n)), default=-1)
     for kind, value, noise in tokens(page):
         if kind == "text":
             if value.isspace():  # between inline elements it is a space
@@ -116,20 +142,20 @@ def _stream(page: str, reset: bool) -> tuple[list[str], list[str], bool]:
         inline = value in INLINE or value in UNSEEN
         line = line if inline else None
         if kind == "open":
-            names, bounds = ENDS.get(value, ((), ()))
-            for i in range(len(stack) - 1, -1, -1):
-                name = stack[i][0]
-                if name in names or name == "p" and value in ENDS_P:
-                    _, skip, fixed, region = stack[i]
-                    del stack[i:]
-                    break
-                if name in bounds or not names and name not in INLINE:
-                    break
+            if value in ENDS:
+                names, bounds = ENDS[value]
+                if (i := last(names)) > last(bounds):
+                    pop_to(i)
+            elif value in ENDS_P and blocks and stack[blocks[-1]][0] == "p":
+                pop_to(blocks[-1])
             out.append(f"<{value}>" if inline else f"|{value}")
             if value in VOID:
                 continue
+            places.setdefault(value, []).append(len(stack))
+            if value not in INLINE:
+                blocks.append(len(stack))
             stack.append((value, skip, fixed, region))
-            if value in ("article", "main") and skip and not fixed and region == "b":
+            if value in ("article", "main") and not fixed and (skip and region == "b" or noise):
                 held = True
                 skip = not reset
             fixed = fixed or value in SKIPPED
@@ -137,11 +163,8 @@ def _stream(page: str, reset: bool) -> tuple[list[str], list[str], bool]:
             region = "a" if value == "article" else "m" if value == "main" and region == "b" else region
         else:
             out.append(f"</{value}>" if inline else f"|/{value}")
-            if any(entry[0] == value for entry in reversed(stack)):
-                while True:
-                    name, skip, fixed, region = stack.pop()
-                    if name == value:
-                        break
+            if places.get(value):
+                pop_to(places[value][-1])
     return out, texts, held
 
 

@@ -24,8 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialize, small
+from .storage import BROADCAST_BYTES, byte_size, materialize, small
 
+#: Tasks that a payload's pages are dealt to where the responses are too many to broadcast.
+SALTS = 64
 INDEX = "page_id long, archive string, offset long, length long, url string, digest string, record_type string"
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
@@ -77,7 +79,11 @@ def write(pages: DataFrame, folder: str, *, min_payload: int = 0, level: int = 1
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("sha", F.sha1("payload"))
     first = rows.where(F.octet_length("payload") >= min_payload).groupBy("sha").agg(F.max("page_id").alias("response_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    rows = rows.join(small(materialize(first, "responses")), "sha", "left")
+    first, key = materialize(first, "responses"), ["sha"]
+    if byte_size(first) > BROADCAST_BYTES:  # pages of one common payload go to SALTS tasks, not to one
+        first, key = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["sha", "salt"]
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+    rows = rows.join(small(first), key, "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target, path = _open(folder)

@@ -5,6 +5,7 @@ import re
 import time
 
 import numpy as np
+import pytest
 
 from spoor.llm import html_wrappers as H
 from spoor.llm import images, storage, warc
@@ -86,7 +87,11 @@ def test_parse_by_the_wrapper():
     assert H.parse(w, ["x", "d"]) is None and H.parse(w, ["x", "(a b)+", "d", "d"]) is None
 
 
-def test_warc_round_trip(spark):
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_warc_round_trip(spark, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(warc, "BROADCAST_BYTES", 0)
+        monkeypatch.setattr(warc, "small", lambda df: df)
     rows = [(1, "http://a/1", "same"), (2, "http://a/2", "same"), (2, "http://a/2", "same"), (3, None, ""), (4, "u\r\nv", None), (5, "é", "x" * 300_000), (None, "http://a/n", "same"), (None, "n", "alone"), (6, "http://a/6", "a\r\n\r\nb\r\n\r\n")]
     pages = spark.createDataFrame([(*r, 7) for r in rows], "page_id long, url string, html string, digest int")
     index = warc.write(pages, storage.new_path(spark, "w"))
@@ -172,3 +177,26 @@ def test_hosts_with_many_shapes(spark):
     found = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     clean = sum("Home" not in t and "Imprint" not in t for t in found.values())
     assert clean >= 0.95 * len(found) and all(f"{i} 0" in found[i] for i in found)
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<main><article>Story</article><article class='comment'>Reader</article></main>", "Story"),
+        ("<article>Story<article class=comment>Reader</article> more</article>", "Story\nmore"),
+        ("<article>Story</article><article class='card'>Another story</article>", "Story"),
+        ("<article class='post has-comments'>The only story</article>", "The only story"),
+        ("<main><section><p>Story</p></section><article class='teaser'>x</article></main>", "Story"),
+        ("<article>a<div class='commentList'>b</div><div class='adContainer'>c</div></article>", "a"),
+        ("<article>a<p hidden>b</p><p style='color: red; DISPLAY:none'>c</p><p title='hidden gems'>d</p><p data-x=hidden>e</p></article>", "a\nd\ne"),
+    ],
+)
+def test_comments_cards_and_hidden_elements(page, text):
+    assert H.main_text(page, []) == text
+
+
+@pytest.mark.parametrize("page", ["<p>" + "<b>" * 20_000 + "<div>", "<p><b>" * 20_000 + "<div>", "<div>" * 20_000 + "</span>" * 20_000, "<div>" * 20_000 + "<li></li>" * 20_000, "<p><button>" + "<b>" * 20_000 + "<div></div>" * 20_000])
+def test_deep_markup_takes_linear_time(page):
+    began = time.time()
+    H.stream(page)
+    assert time.time() - began < 5
