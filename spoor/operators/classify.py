@@ -52,7 +52,7 @@ def judged(evidence: DataFrame) -> DataFrame:
 def entity_edges(rows: DataFrame) -> DataFrame:
     """(investigation_id, id, family, kind, value) of evidence or of judged rows, one row per row and entity."""
     if "entities" not in rows.columns:
-        rows = judged(rows)
+        rows = written(judged(rows), "judged")  # edges are used more than once
     return rows.where("id is not null and usable").select("investigation_id", "id", F.col("artifact_type").alias("family"), F.explode("entities").alias("e")).select("investigation_id", "id", "family", "e.kind", "e.value")
 
 
