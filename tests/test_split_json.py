@@ -69,7 +69,7 @@ def test_flaws_reject_the_whole_file(small_ranges, tmp_path):
 
 def test_one_array_is_read_by_many_tasks(spark, tmp_path):
     (tmp_path / "big.json").write_text(json.dumps([{"id": i, "children": [], "text": "} " * (i % 50)} for i in range(20_000)]))
-    spark.conf.set("spark.sql.files.maxPartitionBytes", str(256 << 10))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(128 << 10))
     try:
         from spoor.sources.split_json import fragments
 
