@@ -40,7 +40,8 @@ def route_questions(questions: DataFrame, routes: list[tuple[str, list[str]]]) -
 
 
 def parse_citations(answers: DataFrame) -> DataFrame:
-    """answers(raw, n_evidence, ...) with answer, confidence and citations: numbers from 1 to n_evidence, each once, in order of first sight."""
+    """answers(raw, n_evidence, ...) with answer, confidence and citations: numbers from 1 to n_evidence, each once, in order of first sight.
+    The patterns are fixed values."""
     text = _strip(F.coalesce("raw", F.lit("")))
     said = F.regexp_extract(text, r"(?i)confidences?[:\s]*(\d{1,3})", 1)
     clean = _strip(F.regexp_replace(text, r"(?im)^\s*confidences?[:\s]*\d{1,3}\s*$", ""))
@@ -70,7 +71,7 @@ def cited_references(answers: DataFrame, references: DataFrame) -> DataFrame:
 
 
 def assessment(answer: Column) -> Column:
-    """The text between the heading ASSESSMENT and the next heading; empty without one."""
+    """The text between the heading ASSESSMENT and the next heading; empty without one. The headings are fixed values."""
     rest = F.get(F.split(answer, r"(?imd)^[\s*#_]*ASSESSMENT[\s*:_-]*$", 2), F.lit(1))
     section = F.get(F.split(rest, r"(?imd)^[\s*#_]*(?:GAPS|FINDING|EVIDENCE|CONFIDENCE)\b", 2), F.lit(0))
     return F.coalesce(_strip(section), F.lit(""))

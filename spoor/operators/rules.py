@@ -18,7 +18,6 @@ RECON = ("whoami", "net user", "net localgroup", "net group", "net view", "syste
 PERSISTENCE = (r"\run" + "\\", r"\runonce" + "\\", "image file execution options", r"\services" + "\\", r"currentversion\run")
 DISGUISE = (".exe.", ".bat.", ".cmd.", ".scr.", ".ps1.")
 WRITABLE_CODE = ("PAGE_EXECUTE_READWRITE", "PAGE_EXECUTE_WRITECOPY", "RWX", "EXECUTE_READWRITE")
-NOT_REMOTE = ("127.", "::1", "0.0.0.0", "::")
 REMOTE_SWITCH = r"(?i)\b(?:--?connect|--?host|--?server|nc(?:\.exe)?)\s+(\d{1,3}(?:\.\d{1,3}){3})(?::(\d{1,5}))?\b"
 IP_PORT = r"\b(\d{1,3}(?:\.\d{1,3}){3}):(\d{1,5})\b"
 ACCESS_MASK = 0x1F0FFF | 0x0020 | 0x0008
@@ -82,6 +81,7 @@ def _with(prefix: str, *keys: str) -> Callable[[Column], Column]:
 
 
 _file = lambda a: text_of(first_key(a, "name", "path"))
+#: Codes, weights and reason texts.
 REGISTRY: list[Indicator] = [
     Indicator("PSL-01", "pslist", 2, False, lambda a: first_key(a, "path").isNotNull() & is_executable(first_key(a, "name")) & is_user_writable(first_key(a, "path")), _with("process executable in user-writable path: ", "path")),
     Indicator("PSL-02", "pslist", 1, False, _name_differs, lambda a: F.concat(F.lit("process name does not match its on-disk path: "), text_of(first_key(a, "path")), F.lit(" vs "), text_of(first_key(a, "name")))),
