@@ -32,6 +32,7 @@ POINTS, AREA, SCALES, RADIUS, MAX_BITS, MIN_VOTES = 48, 192, 5, 19, 40, 6
 KEY_BITS = 32
 SHIFT_BIN, TURN_BIN, SCALE_BIN = 12.0, 0.5, 0.5  # pixels, radians, octaves
 SIDE, GRID = 96, 20
+SLICE = 128  # rows at a time: Arrow's batches of 10,000 images, with their copies in Python, pass 100 MB a task
 IMAGE = "image_id long, source_id long, edit string, width int, height int, pixels binary"
 _PAIRS = np.clip(np.random.default_rng(3).normal(0, RADIUS / 2.2, (256, 4)), -RADIUS + 2, RADIUS - 2)
 _Y, _X = np.mgrid[-7:8, -7:8]
@@ -39,6 +40,12 @@ _DISK = (_X**2 + _Y**2 <= 49).ravel()
 _DX, _DY = _X.ravel()[_DISK], _Y.ravel()[_DISK]
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
 def _resize(a: np.ndarray, h: int, w: int) -> np.ndarray:
     """Bilinear."""
     y, x = np.linspace(0, a.shape[0] - 1, h), np.linspace(0, a.shape[1] - 1, w)
@@ -71,7 +78,7 @@ def render(embeddings: DataFrame) -> DataFrame:
     """IMAGE rows that embeddings(vec_id, embedding) determine: one image for each vector, and an edited copy for each fifth vec_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             rows = []
             for vec, vector in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if vector is None or vec is None:
@@ -156,7 +163,7 @@ def describe(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _descriptors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["node", "p", "x", "y", "s", "t", "d0", "d1", "d2", "d3"]
-    for batch in batches:
+    for batch in _slices(batches):
         nodes, points, words = [], [], []
         for node, w, h, raw in zip(*(c.to_pylist() for c in batch.columns)):
             if not raw or not w or not h or len(raw) < w * h:

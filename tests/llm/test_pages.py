@@ -5,6 +5,7 @@ import re
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from spoor.llm import html_wrappers as H
@@ -119,6 +120,26 @@ def test_image_copies(spark, sf):
     assert all(found[i].class_id == i for i in found if i % 2 == 0)
 
 
+def test_images_leave_a_task_in_small_batches(spark):
+    """One Arrow batch holds up to 10,000 rows: neither its images nor their descriptors may be held at once."""
+
+    class Frame:
+        """Gives the function that a frame would run."""
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    vectors = pa.RecordBatch.from_pydict({"vec_id": pa.array(range(1000), pa.int64()), "embedding": [[float(i)] for i in range(1000)]})
+    made = list(images.render(Frame())(iter([vectors])))
+    assert sum(b.num_rows for b in made) == 1200 and max(b.get_total_buffer_size() for b in made) < 4 << 20
+    whole = pa.Table.from_batches(made).slice(0, 600).combine_chunks().to_batches()[0].select(["image_id", "width", "height", "pixels"])
+    found = list(images._descriptors(iter([whole])))
+    assert len({n for b in found for n in b.column(0).to_pylist()}) == 600 and max(b.get_total_buffer_size() for b in found) < 1 << 20
+
+
 def test_image_odd_rows(spark):
     flat = bytes(64 * 64)
     rows = [(1, 64, 64, flat, 1), (2, 64, 64, flat, 1), (3, 0, 0, None, 1), (4, 64, 64, b"", 1), (5, 64, 64, b"short", 1), (None, 64, 64, flat, 1), (6, None, None, flat, 1)]
