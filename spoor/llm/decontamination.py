@@ -1,8 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 The benchmark's words are the vocabulary; every document is kept once as word numbers. Document
-frequencies over all documents give the IDF weights. The latent map is this search's index; it is fitted on the
-passages of about FIT_DOCS different texts of least text hash, each once: a distributed randomised SVD of their TF-IDF matrix (one pass:
+frequencies over all documents give the IDF weights. The latent map is this search's index; it is fitted on all
+passages of all different texts, each once: a distributed randomised SVD of their TF-IDF matrix (one pass:
 Y = A Omega, A'Y and Y'Y summed over tasks, Nystroem's formula on the driver over a vocabulary-by-rank matrix). Windows of six sizes slide over every text; a window whose
 cosine with a benchmark passage of its size is COSINE or more is a candidate. It is confirmed by the longest
 common subsequence of words, as a share of the passage: from COPIED on it is a copy; from PARAPHRASED on it is
@@ -31,7 +31,8 @@ from . import kernels as K
 from .storage import materialize
 
 COSINE, COPIED, PARAPHRASED = 0.42, 0.8, 0.65
-BLOCK, MIN_WORDS, RANK, OVERSAMPLE, FIT_DOCS = 2000, 5, 64, 8, 40_000
+BLOCK, MIN_WORDS, RANK, OVERSAMPLE = 2000, 5, 64, 8
+FIT_DOCS: int | None = None  # no bound: the map is fitted on all different texts; a number fits it on about so many
 LENGTHS = (8, 16, 24, 32, 48, 64)
 UNIT = 4  # words; windows start and end at multiples
 _STEP = 48 << 10  # words at a time
@@ -243,10 +244,10 @@ def _search(batches: Iterator[pa.RecordBatch], latent: np.ndarray, passages: lis
 
 
 def _fitted(numbered: DataFrame) -> DataFrame:
-    """About FIT_DOCS different texts, each once however often it stands in the corpus."""
-    texts = numbered.select("text_hash").distinct().count()
-    some = numbered if texts <= FIT_DOCS else numbered.where(F.pmod(F.xxhash64("text_hash"), F.lit(1 << 40)) < int((1 << 40) * FIT_DOCS / texts))
-    return some.groupBy("text_hash").agg(F.first("ids").alias("ids"))
+    """All different texts, or about FIT_DOCS of least text hash where that is set, each once however often it stands in the corpus."""
+    if FIT_DOCS is not None and (texts := numbered.select("text_hash").distinct().count()) > FIT_DOCS:
+        numbered = numbered.where(F.pmod(F.xxhash64("text_hash"), F.lit(1 << 40)) < int((1 << 40) * FIT_DOCS / texts))
+    return numbered.groupBy("text_hash").agg(F.first("ids").alias("ids"))
 
 
 def _search_block(rows: DataFrame, items: list[tuple[int, str]]) -> DataFrame | None:

@@ -83,3 +83,11 @@ def test_odd_rows(spark, odd_docs):
     assert kept.count() == odd_docs.count() - len(found) and kept.columns == odd_docs.columns
     assert D.search(odd_docs, items.limit(0)).count() == 0
     assert D.search(odd_docs.limit(0), items).count() == 0
+
+
+def test_latent_map_is_fitted_on_every_different_text(spark):
+    """60,000 texts, a tenth of them twice; each is one row of the map's matrix."""
+    n = 60_000
+    rows = spark.range(n + n // 10).selectExpr("id as doc_id", f"id % {n} as text_hash", f"cast(cast(id % {n} as string) as binary) as ids")
+    fitted = D._fitted(rows)
+    assert fitted.count() == n and fitted.selectExpr("sum(cast(cast(ids as string) as long)) as x").first().x == n * (n - 1) // 2
