@@ -91,3 +91,11 @@ def test_latent_map_is_fitted_on_every_different_text(spark):
     rows = spark.range(n + n // 10).selectExpr("id as doc_id", f"id % {n} as text_hash", f"cast(cast(id % {n} as string) as binary) as ids")
     fitted = D._fitted(rows)
     assert fitted.count() == n and fitted.selectExpr("sum(cast(cast(ids as string) as long)) as x").first().x == n * (n - 1) // 2
+
+
+def test_dropping_fits_the_map_on_every_different_text(spark, monkeypatch):
+    seen, fit = [], D.latent_map
+    monkeypatch.setattr(D, "latent_map", lambda rows, *rest: (seen.append(rows.count()), fit(rows, *rest))[1])
+    docs = spark.range(45_000).selectExpr("id as doc_id", "concat('some words of text ', id) as text")
+    bench = spark.createDataFrame([(1, "some words of other text than theirs")], "item_id long, text string")
+    assert D.drop_contaminated(docs, bench).count() == 45_000 and seen == [45_000]
