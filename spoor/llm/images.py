@@ -3,8 +3,9 @@
 Corners are found at scales a quarter of an octave apart (Harris response, local maxima; an image's strongest, one for AREA pixels and
 POINTS at least), turned to the
 direction of their patch's centre of mass, and described by 256 binary tests of smoothed pixels. Descriptors meet in a
-Hamming table: images are candidates where descriptors have equal first KEY_BITS of a quarter and at most MAX_BITS different ones in the other three. Patches are wide (RADIUS), as narrow
-ones of unlike images are often alike, which makes chance meetings grow with the square of the images. A candidate pair is confirmed by geometric
+Hamming table where one of the eighths in CELLS is equal. Two images are candidates where descriptors that meet differ in at most MAX_BITS of all
+bits, or where two different points of each meet with at most NEAR_BITS, as two points of unlike images hardly ever meet. Patches are wide (RADIUS), as narrow
+ones of unlike images are often alike; chance candidates grow with the square of the images, at the rate in the README. A candidate pair is confirmed, once, by geometric
 consensus: matches within MAX_BITS vote for one similarity transform (turn, scale, shift) in overlapping bins, and at
 least MIN_VOTES different points must agree. Images of equal bytes are one class before any search; large table cells
 are resolved by linking.link_members, without a cap.
@@ -29,7 +30,8 @@ from .linking import connected_components, link_members
 from .storage import materialize, scope, small
 
 POINTS, AREA, SCALES, RADIUS, MAX_BITS, MIN_VOTES = 48, 192, 5, 19, 40, 6
-KEY_BITS = 32
+NEAR_BITS = 56
+CELLS = (0, 0), (1, 0), (2, 0), (3, 0), (0, 1), (1, 1)  # quarter and half of it: 32 bits each
 SHIFT_BIN, TURN_BIN, SCALE_BIN = 12.0, 0.5, 0.5  # pixels, radians, octaves
 SIDE, GRID = 96, 20
 SLICE = 128  # rows at a time: Arrow's batches of 10,000 images, with their copies in Python, pass 100 MB a task
@@ -212,21 +214,31 @@ def _classes(rows: DataFrame, seen: DataFrame) -> DataFrame:
     if sets.where("rows > 1").limit(1).count():
         one = one.dropDuplicates(["node"])
     desc = materialize(one.mapInArrow(_descriptors, "node long, p int, x float, y float, s float, t float, d0 long, d1 long, d2 long, d3 long"), "descriptors")
-    # a cell's key is its quarter's number and first bits; the other quarters go with it, to tell chance meetings early
-    others = lambda i: F.struct(*(F.col(f"d{(i + j) % 4}").alias(f"m{j}") for j in (1, 2, 3)))
-    cell = F.explode(F.array(*(F.struct((F.shiftrightunsigned(f"d{i}", 64 - KEY_BITS) * 4 + i).alias("key"), others(i).alias("n")) for i in range(4))))
+    # a cell's key is its eighth's number and bits; all other bits go with it, to tell chance meetings early
+    half = lambda i, low: F.shiftright(F.shiftleft(f"d{i}", 32) if low else F.col(f"d{i}"), 32)
+    others = lambda i, low: F.struct(half(i, 1 - low).cast("int").alias("m0"), *(F.col(f"d{(i + j) % 4}").alias(f"m{j}") for j in (1, 2, 3)), "p")
+    cell = F.explode(F.array(*(F.struct((half(i, low) * len(CELLS) + at).alias("key"), others(i, low).alias("n")) for at, (i, low) in enumerate(CELLS))))
     members = desc.select("node", cell.alias("c")).select("c.key", "node", "c.n")
 
+    def bits(x: str, y: str) -> F.Column:
+        return sum((F.bit_count(F.col(f"{x}.m{j}").bitwiseXOR(F.col(f"{y}.m{j}"))) for j in (1, 2, 3)), F.bit_count(F.col(f"{x}.m0").bitwiseXOR(F.col(f"{y}.m0"))))
+
     def may_link(x: str, y: str) -> F.Column:
-        return sum((F.bit_count(F.col(f"{x}.m{j}").bitwiseXOR(F.col(f"{y}.m{j}"))) for j in (2, 3)), F.bit_count(F.col(f"{x}.m1").bitwiseXOR(F.col(f"{y}.m1")))) <= MAX_BITS
+        return bits(x, y) <= NEAR_BITS
+
+    def meet(meetings: DataFrame) -> DataFrame:
+        """The candidates of meetings (a, b, n_a, n_b): one is a match, or different points of both images meet."""
+        points = [F.col(f"n_{x}.p") for x in "ab"]
+        seen = meetings.groupBy("a", "b").agg(F.min(bits("n_a", "n_b")).alias("least"), *(agg(p).alias(f"{name}_{x}") for x, p in zip("ab", points) for name, agg in (("lo", F.min), ("hi", F.max))))
+        return seen.where((F.col("least") <= MAX_BITS) | (F.col("lo_a") < F.col("hi_a")) & (F.col("lo_b") < F.col("hi_b"))).select("a", "b")
 
     def verify(pairs: DataFrame) -> DataFrame:
         ends = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "pair-nodes")
         own = desc.join(small(ends), "node", "left_semi")
         a, b = (own.select(*(F.col(c).alias(f"{c}_{x}") for c in desc.columns)) for x in "ab")
         near = pairs.join(a, pairs.a == a.node_a).join(b, pairs.b == b.node_b)
-        bits = sum((F.bit_count(F.col(f"d{i}_a").bitwiseXOR(F.col(f"d{i}_b"))) for i in range(1, 4)), F.bit_count(F.col("d0_a").bitwiseXOR(F.col("d0_b"))))
-        near = near.where(bits <= MAX_BITS)
+        unlike = sum((F.bit_count(F.col(f"d{i}_a").bitwiseXOR(F.col(f"d{i}_b"))) for i in range(1, 4)), F.bit_count(F.col("d0_a").bitwiseXOR(F.col("d0_b"))))
+        near = near.where(unlike <= MAX_BITS)
         turn = F.col("t_b") - F.col("t_a")
         turn = turn - 2 * np.pi * F.floor(turn / (2 * np.pi))  # 0 to a whole turn
         scale = F.col("s_b") / F.col("s_a")
@@ -234,11 +246,11 @@ def _classes(rows: DataFrame, seen: DataFrame) -> DataFrame:
         # a pair's matches are at most the product of the two images' points
         return near.groupBy("a", "b").applyInPandas(_agreed, "a long, b long")
 
-    def rest(left: DataFrame, links: DataFrame) -> DataFrame:
-        x, y = left.select("key", "n", F.col("node").alias("a"), F.col("comp").alias("ca")), left.select("key", F.col("n").alias("m"), F.col("node").alias("b"), F.col("comp").alias("cb"))
-        return x.join(y, "key").where(may_link("n", "m")).where("a < b and ca <> cb").select("a", "b").distinct().join(links, ["a", "b"], "left_anti")
+    def rest(left: DataFrame, judged: DataFrame) -> DataFrame:
+        x, y = (left.select("key", F.col("n").alias(f"n_{i}"), F.col("node").alias(i), F.col("comp").alias(f"comp_{i}")) for i in "ab")
+        return meet(x.join(y, "key").where(may_link("n_a", "n_b")).where("a < b and comp_a <> comp_b").select("a", "b", "n_a", "n_b")).join(judged, ["a", "b"], "left_anti")
 
-    links = materialize(link_members(members, may_link, verify, rest, write=False), "image-links")
+    links = materialize(link_members(members, may_link, verify, rest, meet, write=False), "image-links")
     comps = connected_components(links)
     placed = sets.join(small(comps), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = placed.groupBy("comp").agg(F.min("least").alias("class_id"))

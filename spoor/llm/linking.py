@@ -28,14 +28,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def link_members(members: DataFrame, may_link: Callable[[str, str], object], verify: Callable[[DataFrame], DataFrame], rest: Callable[[DataFrame, DataFrame], DataFrame], *, write: bool = True) -> DataFrame:
+def link_members(members: DataFrame, may_link: Callable[[str, str], object], verify: Callable[[DataFrame], DataFrame], rest: Callable[[DataFrame, DataFrame], DataFrame], meet: Callable[[DataFrame], DataFrame] | None = None, *, write: bool = True) -> DataFrame:
     """Verified links (a, b) among the nodes that share a key.
 
     members has (key, node, n). A key's leader is its least node. First each node is compared with
     one leader, the least of its keys', then with those leaders that are not yet in its component. Keys whose nodes are then all in one component are settled: no further link
-    can change a class. rest(nodes of the other keys with comp, labels) gives the remaining
+    can change a class. rest(nodes of the other keys with comp, links) gives the remaining
     candidate pairs (a, b), which are verified too. may_link(n, n) is an
-    expression that no linked pair fails; n is what it looks at. Without write, members is read twice from where it comes from,
+    expression that no linked pair fails; n is what it looks at. With meet, one shared key isn't enough: meet(meetings (a, b, n_a, n_b)) gives
+    those pairs (a, b) whose meetings are; a pair that fails with its leader's keys alone is seen again by rest, with all of its keys,
+    as keys of nodes in different components are never settled. rest then gets all pairs that were judged in place of links, so none is verified twice. Without write, members is read twice from where it comes from,
 only those that share a key are written, and rest gets the unsettled ones with their keys."""
     if write:
         members = materialize(members, "members")
@@ -44,13 +46,17 @@ only those that share a key are written, and rest gets the unsettled ones with t
         members = materialize(members.join(small(shared, 2 * BROADCAST_BYTES), "key", "left_semi"), "shared-members")
     leaders = members.groupBy("key").agg(F.min(F.struct("node", "n")).alias("lead"), F.max("node").alias("last")).where("lead.node <> last")
     leaders = materialize(leaders.select("key", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n")), "leaders")
-    star = members.join(small(leaders), "key").where("node <> lead").where(may_link("n", "lead_n")).select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-    star = materialize(star, "star")
-    links = materialize(verify(materialize(star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs")), "links")
+    near = members.join(small(leaders), "key").where("node <> lead").where(may_link("n", "lead_n"))
+    ends = F.col("lead").alias("a"), F.col("node").alias("b")
+    star = materialize(near.select(*ends).distinct() if meet is None else meet(near.select(*ends, F.col("lead_n").alias("n_a"), F.col("n").alias("n_b"))), "star")
+    pairs = materialize(star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs")
+    links = materialize(verify(pairs), "links")
+    judged = links if meet is None else pairs
     labels = connected_components(links)
     a_of, b_of = (small(labels).select(F.col("node").alias(x), F.col("comp").alias(f"comp_{x}")) for x in "ab")
-    apart = star.join(a_of, "a", "left").join(b_of, "b", "left").where("coalesce(comp_a, a) <> coalesce(comp_b, b)").select("a", "b").join(small(links), ["a", "b"], "left_anti")
-    links = links.union(materialize(verify(materialize(apart, "pairs")), "links"))
+    apart = star.join(a_of, "a", "left").join(b_of, "b", "left").where("coalesce(comp_a, a) <> coalesce(comp_b, b)").select("a", "b").join(small(judged), ["a", "b"], "left_anti")
+    apart = materialize(apart, "pairs")
+    links = links.union(materialize(verify(apart), "links"))
     labels = connected_components(links)
     own = F.coalesce("comp", "node")
     open_keys = members.join(small(leaders).select("key"), "key").join(small(labels), "node", "left").groupBy("key").agg(F.min(own).alias("lo"), F.max(own).alias("hi")).where("lo <> hi").select("key")
@@ -59,5 +65,5 @@ only those that share a key are written, and rest gets the unsettled ones with t
     left = materialize(left, "unsettled")
     if not left.limit(1).count():
         return links
-    more = rest(left, links)
+    more = rest(left, links if meet is None else pairs.union(apart))
     return links.union(materialize(verify(materialize(more, "more-pairs")), "more-links"))

@@ -221,3 +221,43 @@ def test_deep_markup_takes_linear_time(page):
     began = time.time()
     H.stream(page)
     assert time.time() - began < 5
+
+
+def test_images_are_judged_once_and_not_for_one_chance_meeting(spark, monkeypatch):
+    """Image 2k and 2k + 1 of a kind share descriptors but for so many bits; what is compared point by point is held against that."""
+    from spoor.llm import linking
+
+    def described(batches):
+        for batch in batches:
+            rows = [(n, i, 10.0 * i, 5.0, 1.0, 0.0, *np.frombuffer(raw, "<i8")[4 * i : 4 * i + 4].tolist()) for n, raw in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist()) for i in range(len(raw) // 32)]
+            kinds = [pa.int64(), pa.int32(), *[pa.float32()] * 4, *[pa.int64()] * 4]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names="node p x y s t d0 d1 d2 d3".split())
+
+    judged, real = [], linking.materialize
+
+    def noted(df, name, **how):
+        out = real(df, name, **how)
+        if name in ("pairs", "more-pairs"):
+            judged.extend(tuple(r) for r in out.select("a", "b").collect())
+        return out
+
+    monkeypatch.setattr(images, "_descriptors", described)
+    monkeypatch.setattr(linking, "materialize", noted)
+    rng = np.random.default_rng(3)
+    rows, kinds = [], {"chance": [45], "match": [38], "two": [45, 45], "copy": [1] * 8, "low half": [0]}
+    for k in range(60):
+        kind = list(kinds)[k % len(kinds)]
+        one = rng.integers(-(1 << 63), 1 << 63, (len(kinds[kind]), 4), dtype=np.int64)
+        other = one.copy()
+        for i, bits in enumerate(kinds[kind]):  # the last quarter and the second one differ, and half of the first one
+            for bit in range(bits):
+                other[i, 3 if bit < 20 else 1 if bit < 40 else 0] ^= np.int64(1 << bit % 20)
+        if kind == "low half":  # the first halves of all quarters differ, and no other
+            other ^= np.int64(1 << 40)
+        rows += [(2 * k + j, 4, 4 * len(x), x.tobytes()) for j, x in enumerate((one, other))]
+    made = spark.createDataFrame(rows, "image_id long, width int, height int, pixels binary")
+    found = {r.image_id: r.class_id for r in images.copies(made).collect()}
+    names = {r.node: r.image_id for r in made.selectExpr("xxhash64(width, height, md5(pixels)) as node", "image_id").collect()}
+    pairs = sorted(tuple(sorted((names[a], names[b]))) for a, b in judged)
+    assert pairs == [(2 * k, 2 * k + 1) for k in range(60) if list(kinds)[k % len(kinds)] != "chance"]
+    assert all(found[i] == (i - i % 2 if list(kinds)[i // 2 % len(kinds)] == "copy" else i) for i in found)
