@@ -32,7 +32,7 @@ from .storage import materialize
 
 COSINE, COPIED, PARAPHRASED = 0.42, 0.8, 0.65
 BLOCK, MIN_WORDS, RANK, OVERSAMPLE = 2000, 5, 64, 8
-FIT_DOCS: int | None = None  # no bound: the map is fitted on all different texts; a number fits it on about so many
+FIT_DOCS: int | None = None  # bounds _fitted() alone, which no search uses
 LENGTHS = (8, 16, 24, 32, 48, 64)
 UNIT = 4  # words; windows start and end at multiples
 _STEP = 48 << 10  # words at a time
@@ -243,11 +243,16 @@ def _search(batches: Iterator[pa.RecordBatch], latent: np.ndarray, passages: lis
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
 
+def _different(numbered: DataFrame) -> DataFrame:
+    """All different texts, each once however often it stands in the corpus."""
+    return numbered.groupBy("text_hash").agg(F.first("ids").alias("ids"))
+
+
 def _fitted(numbered: DataFrame) -> DataFrame:
-    """All different texts, or about FIT_DOCS of least text hash where that is set, each once however often it stands in the corpus."""
+    """_different(), or about FIT_DOCS of it where that is set. Searches fit on _different(), whatever FIT_DOCS is."""
     if FIT_DOCS is not None and (texts := numbered.select("text_hash").distinct().count()) > FIT_DOCS:
         numbered = numbered.where(F.pmod(F.xxhash64("text_hash"), F.lit(1 << 40)) < int((1 << 40) * FIT_DOCS / texts))
-    return numbered.groupBy("text_hash").agg(F.first("ids").alias("ids"))
+    return _different(numbered)
 
 
 def _search_block(rows: DataFrame, items: list[tuple[int, str]]) -> DataFrame | None:
@@ -274,7 +279,7 @@ def _search_block(rows: DataFrame, items: list[tuple[int, str]]) -> DataFrame |
     df[counts["word"].to_numpy()] = counts["docs"].to_numpy()
     idf = np.log((docs + 1) / (df + 1)) + 0.05
     idf[0] = 0
-    basis = latent_map(_fitted(numbered), idf, kind)
+    basis = latent_map(_different(numbered), idf, kind)
     given = spark.sparkContext.broadcast(((idf[:, None] * basis).astype(np.float32), passages))
     return numbered.mapInArrow(lambda it: _search(it, *given.value, kind), MATCH)
 

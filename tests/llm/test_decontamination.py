@@ -99,3 +99,12 @@ def test_dropping_fits_the_map_on_every_different_text(spark, monkeypatch):
     docs = spark.range(45_000).selectExpr("id as doc_id", "concat('some words of text ', id) as text")
     bench = spark.createDataFrame([(1, "some words of other text than theirs")], "item_id long, text string")
     assert D.drop_contaminated(docs, bench).count() == 45_000 and seen == [45_000]
+
+
+def test_no_bound_reaches_the_map_of_a_search(spark, monkeypatch):
+    seen, fit = [], D.latent_map
+    monkeypatch.setattr(D, "FIT_DOCS", 100)
+    monkeypatch.setattr(D, "latent_map", lambda rows, *rest: (seen.append(rows.count()), fit(rows, *rest))[1])
+    docs = spark.range(2_000).selectExpr("id as doc_id", "concat('some words of text ', id) as text")
+    bench = spark.createDataFrame([(1, "some words of other text than theirs")], "item_id long, text string")
+    assert D.drop_contaminated(docs, bench).count() == 2_000 and seen == [2_000]
