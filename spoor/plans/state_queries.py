@@ -66,7 +66,7 @@ def find_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = evidence(spark, sf_dir).select("investigation_id", "id", F.col("artifact_value").alias("text"))
     tokens = spark.sql(_TOKENS.replace("FROM ev", "FROM {ev}"), ev=evidence(spark, sf_dir))
     index = TextIndex(spark, new_folder(spark, "grams"), buckets=16)
-    for i, part in enumerate(("id % 2 = 0", "id % 2 = 1")):
+    for i, part in enumerate(("id % 2 = 0", "id IS NULL OR id % 2 <> 0")):
         index.add(rows.where(part), i)
     return index.find(tokens, rows).select("id", "token")
 

@@ -207,6 +207,53 @@ def test_substrings_by_trigrams(spark):
     assert index.find(asked.limit(0), rows).count() == 0
 
 
+def test_text_index_names_runs_and_shuffles_no_finds(spark):
+    from spoor.state.text_index import TextIndex
+
+    rows = spark.range(4000).selectExpr("id", "concat('INV-', id % 7) AS investigation_id", """concat('{"pid": ', id % 60, ', "name": "proc', id % 10, '.exe"}') AS text""")
+    tokens = ["pr", "oc1", '"pid": 4', "nothing", "7", "c3.exe"]
+    index = TextIndex(spark, "file://" + tempfile.mkdtemp(prefix="spark-"), buckets=4)
+    index.add(rows.where("id % 2 = 0"), 0)
+    index.add(rows.where("id % 2 = 1"), 1)
+    postings = index.store.read("postings")
+    assert postings.count() < rows.count()  # a posting for each row and gram were some 75 times as many
+    often = {r.gram: r.n for r in postings.groupBy("gram").agg(F.sum("n").alias("n")).collect()}
+    assert (often["pro"], often["oc1"], often["e"], often["}"]) == (4000, 400, 12000, 4000)
+    found = index.find(spark.createDataFrame([(t,) for t in tokens], "token string"), rows)
+    assert "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in found.collect()) == sorted((r.investigation_id, r.id, t) for r in rows.collect() for t in tokens if t in r.text)
+
+
+@pytest.mark.parametrize("sliced", [False, True])
+def test_text_index_with_odd_ids_and_repeated_grams(spark, monkeypatch, sliced):
+    from spoor.state import text_index
+
+    texts = [(0, "A", "xaaaaa"), (4095, "A", "banana"), (4096, "B", "anan"), (-7, "A", "nanaaa"), (None, "A", "banana split"), (1 << 40, None, "a%_a\\aa"), (64, "B", "aXa"), (64, "B", "split"), (64, "B", "SPLIT aXa"), (64, "C", "aXa"), (65, "B", "lit"), (64, "A", None)]
+    tokens = ["aaaa", "ana", "nan", "anan", "banana", "%_a", "\\aa", "axa", "split", "a", "li", "t a", "zz", "aaaaaaa"]
+    rows = spark.createDataFrame(texts, "id long, investigation_id string, text string")
+    if sliced:
+        monkeypatch.setattr(text_index, "_bytes", lambda df: 2 * text_index.BROADCAST_BYTES + 1)
+    index = text_index.TextIndex(spark, "file://" + tempfile.mkdtemp(prefix="spark-"), buckets=4)
+    index.add(rows.limit(0).unionByName(rows.where("id >= 64")), 0)
+    index.add(rows.where("id IS NULL OR id < 64"), 1)
+    found = index.find(spark.createDataFrame([(t,) for t in tokens], "token string"), rows).collect()
+    assert sorted(map(repr, map(tuple, found))) == sorted(map(repr, {(v, i, t) for i, v, s in texts for t in tokens if s and t in s.lower()}))
+
+
+def test_substrings_of_events_with_null_and_negative_ids(spark):
+    import duckdb
+
+    from spoor.plans.queries import ORACLES, QUERIES
+
+    sf = tempfile.mkdtemp(prefix="spark-")
+    duckdb.sql(f"COPY (SELECT * FROM '/root/testdata/sf0.001/events.parquet' UNION ALL SELECT * REPLACE (CASE WHEN event_id < 9 THEN -1 - 2 * event_id END AS event_id) FROM '/root/testdata/sf0.001/events.parquet' WHERE event_id < 10) TO '{sf}/events.parquet' (FORMAT parquet)")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{sf}/events.parquet'")
+    found, expected = QUERIES["find_substrings"](spark, sf).collect(), c.execute(ORACLES["find_substrings"]).fetchall()
+    assert any(i is None for i, _ in expected) and any(i is not None and i < 0 for i, _ in expected)
+    assert sorted(repr(tuple(r)) for r in found) == sorted(map(repr, expected))
+
+
 def test_progress_with_totals(spark):
     from datetime import datetime, timedelta
 
